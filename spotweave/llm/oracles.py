@@ -69,3 +69,25 @@ FROM dw LEFT JOIN words USING (drow) LEFT JOIN named USING (drow)
 """
 
 ORACLES = {"op1_line_dedup": OP1, "op2_mix_sources": OP2, "op4_decontaminate": OP4}
+
+
+def jaccard(k: int, num: int, den: int, table: str = "docs") -> str:
+    """CTEs ``comp(drow, component_id)`` over rows of ``table``(doc_id, text)."""
+    words = rf"regexp_extract_all({_FOLD.format('text')}, '[^\x20\x09-\x0D]+')"
+    return f"""
+jw AS MATERIALIZED (SELECT row_number() OVER () AS drow, *, coalesce({words}, []) AS ww FROM {table}),
+jset AS MATERIALIZED (SELECT drow, list_sort(list_distinct(list_transform(range(1, greatest(len(ww) - {k} + 1, least(len(ww), 1)) + 1), lambda s: array_to_string(ww[s:s + {k} - 1], ' ')))) AS sh FROM jw),
+jclass AS MATERIALIZED (SELECT drow, len(sh) AS n, sh, dense_rank() OVER (ORDER BY sh) AS cls FROM jset),
+jone AS MATERIALIZED (SELECT cls, any_value(sh) AS sh, any_value(n) AS n FROM jclass WHERE n > 0 GROUP BY cls),
+jtok AS MATERIALIZED (SELECT cls, n, unnest(sh) AS t FROM jone),
+jpair AS MATERIALIZED (SELECT a.cls AS a, b.cls AS b FROM jtok a JOIN jtok b ON a.t = b.t AND a.cls < b.cls AND {den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)
+  GROUP BY a.cls, b.cls, a.n, b.n HAVING {den} * count(*) >= {num} * (a.n + b.n - count(*))),
+jreach AS MATERIALIZED (WITH RECURSIVE r(x, y) AS (SELECT cls, cls FROM jone UNION SELECT r.x, p.y FROM r JOIN (SELECT a AS x, b AS y FROM jpair UNION ALL SELECT b, a FROM jpair) p ON r.y = p.x) SELECT x, y FROM r),
+jleast AS MATERIALIZED (SELECT cls, min(doc_id) AS doc_id FROM jclass JOIN jw USING (drow) GROUP BY cls),
+jcomp AS MATERIALIZED (SELECT x AS cls, min(doc_id) AS component_id FROM jreach JOIN jleast ON y = cls GROUP BY x),
+comp AS MATERIALIZED (SELECT jw.*, c.n, CASE WHEN c.n = 0 THEN jw.doc_id ELSE component_id END AS component_id FROM jw JOIN jclass c USING (drow) LEFT JOIN jcomp USING (cls))
+"""
+
+
+OP3 = f"WITH docs AS (SELECT doc_id, text FROM documents), {jaccard(3, 90, 100)} SELECT doc_id, n::BIGINT AS n_shingles, component_id FROM comp"
+ORACLES["op3_ngram_jaccard_join"] = OP3

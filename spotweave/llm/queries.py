@@ -6,21 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotweave.llm.decontaminate import decontaminate, hit_count
+from spotweave.llm.jaccard_join import jaccard_components
 from spotweave.llm.line_dedup import html_text, line_dedup, url_host
 from spotweave.llm.mixing import mix_sources
 from spotweave.llm.secrets import scan_secrets
-from spotweave.llm.store import read, write_table
+from spotweave.llm.store import read
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", url_host(F.col("url")).alias("host"), html_text(F.col("html")).alias("text"))
-    return line_dedup(write_table(pages, "page-text"), "text", "host", ratio=0.1, min_pages=5)
+    return line_dedup(pages, "text", "host", ratio=0.1, min_pages=5)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep=["doc_id"])
     n_hit = hit_count()
@@ -32,4 +37,4 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "links")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_mix_sources": op2_mix_sources, "op4_decontaminate": op4_decontaminate, "op6_secret_scan": op6_secret_scan}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_mix_sources": op2_mix_sources, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_decontaminate": op4_decontaminate, "op6_secret_scan": op6_secret_scan}
