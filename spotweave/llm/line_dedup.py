@@ -48,9 +48,9 @@ def _bare(line: Column) -> Column:
     return F.trim(F.translate(line, "\t\r\f\x0b", "    "))
 
 
-def boilerplate(pages: DataFrame, host: str, lines: str, ratio: float, min_pages: int) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str, hashes: str, ratio: float, min_pages: int) -> DataFrame:
     """(``__host``, ``__drop``): hashes of each host's boilerplate lines."""
-    one = pages.select(F.col(host).alias("__host"), F.explode(F.array_distinct(F.transform(F.col(lines), lambda x: F.xxhash64(_bare(x))))).alias("__line"))
+    one = pages.select(F.col(host).alias("__host"), F.explode(F.array_distinct(hashes)).alias("__line"))
     on = one.groupBy("__host", "__line").agg(F.count(F.lit(1)).alias("__on"))
     total = pages.groupBy(F.col(host).alias("__h")).agg(F.count(F.lit(1)).alias("__pages"))
     often = on.where(F.col("__on") >= min_pages).join(total, F.col("__host").eqNullSafe(F.col("__h")))
@@ -66,19 +66,19 @@ def line_dedup(pages: DataFrame, text_col: str = "text", host_col: str = "source
     n_lines (non-blank lines) and n_dropped are added.
     """
     made = ("n_lines", "n_dropped") if counts else ()
-    keep = [c for c in pages.columns if c != text_col and c not in made]
+    out = [c for c in pages.columns if c not in made]
     lines = F.split(F.col(text_col), "\n", -1)
-    base = pages.select(F.col(host_col).alias("__key"), lines.alias("__lines"))
-    drop = write_table(boilerplate(base, "__key", "__lines", ratio, min_pages), "line-drop")
+    # Lines are split and hashed once; the passes below read the hashes.
+    base = write_table(pages.select(*out, F.transform(lines, lambda x: F.xxhash64(_bare(x))).alias("__hash")), "line-hashes")
+    drop = write_table(boilerplate(base, host_col, "__hash", ratio, min_pages), "line-drop")
     size = drop.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("__drop")), F.lit(0))).first()[0]
-    near = F.broadcast(drop) if size <= BROADCAST_LINES else drop
-    both = pages.join(near, F.col(host_col).eqNullSafe(F.col("__host")), "left")
-    stays = F.filter(lines, lambda x: ~F.array_contains(F.col("__drop"), F.xxhash64(_bare(x))))
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(stays, "\n"))
-    out = both.select(*pages.columns, text.alias("__text"))
+    both = base.join(F.broadcast(drop) if size <= BROADCAST_LINES else drop, F.col(host_col).eqNullSafe(F.col("__host")), "left")
+    hit = F.coalesce(F.arrays_overlap("__hash", "__drop"), F.lit(False))
+    stays = F.filter(lines, lambda x, i: ~F.array_contains(F.col("__drop"), F.col("__hash")[i]))
+    text = F.when(hit, F.array_join(stays, "\n")).otherwise(F.col(text_col))
+    cols = [text.alias(c) if c == text_col else F.col(c) for c in out]
     if counts:
-        filled = lambda t: F.size(F.filter(F.split(t, "\n", -1), lambda x: _bare(x) != ""))
-        n, m = F.coalesce(filled(F.col(text_col)), F.lit(0)), F.coalesce(filled(F.col("__text")), F.lit(0))
-        n, m = F.when(F.col(text_col).isNull(), 0).otherwise(n), F.when(F.col("__text").isNull(), 0).otherwise(m)
-        return out.select(*keep, F.col("__text").alias(text_col), n.cast("long").alias("n_lines"), (n - m).cast("long").alias("n_dropped"))
-    return out.select(*(F.col("__text").alias(text_col) if c == text_col else F.col(c) for c in pages.columns))
+        filled = F.coalesce(F.size(F.array_remove("__hash", F.xxhash64(F.lit("")))), F.lit(0))
+        gone = F.when(hit, F.size(F.filter("__hash", lambda h: F.array_contains(F.col("__drop"), h)))).otherwise(0)
+        cols += [F.when(F.col(text_col).isNull(), 0).otherwise(filled).cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped")]
+    return both.select(*cols)
