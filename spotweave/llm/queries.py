@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from spotweave.llm.decontaminate import decontaminate, hit_count
 from spotweave.llm.jaccard_join import jaccard_components
+from spotweave.llm.labelled import held_out
 from spotweave.llm.line_dedup import html_text, line_dedup, url_host
 from spotweave.llm.mixing import mix_sources
+from spotweave.llm.quality import fit_quality, score_quality
 from spotweave.llm.secrets import scan_secrets
 from spotweave.llm.store import read
+from spotweave.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,4 +40,18 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "links")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_mix_sources": op2_mix_sources, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_decontaminate": op4_decontaminate, "op6_secret_scan": op6_secret_scan}
+def _verdict(scored: DataFrame, least: float) -> DataFrame:
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return _verdict(score_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels")), keep=["doc_id"]), 0.7)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return _verdict(score_toxicity(docs, fit_toxicity(docs, read(spark, sf_dir, "labels")), keep=["doc_id"]), 0.3)
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_mix_sources": op2_mix_sources, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_decontaminate": op4_decontaminate, "op6_secret_scan": op6_secret_scan, "op7_quality_classifier": op7_quality_classifier, "op9_toxicity": op9_toxicity}
