@@ -91,3 +91,14 @@ comp AS MATERIALIZED (SELECT jw.*, c.n, CASE WHEN c.n = 0 THEN jw.doc_id ELSE co
 
 OP3 = f"WITH docs AS (SELECT doc_id, text FROM documents), {jaccard(3, 90, 100)} SELECT doc_id, n::BIGINT AS n_shingles, component_id FROM comp"
 ORACLES["op3_ngram_jaccard_join"] = OP3
+
+OP8 = rf"""
+WITH w AS MATERIALIZED (SELECT row_number() OVER () AS drow, doc_id, coalesce(regexp_extract_all({_FOLD.format('text')}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS MATERIALIZED (SELECT drow, s, md5(array_to_string(w[s:s + 49], ' ')) AS h FROM w, unnest(range(1, len(w) - 48)) AS r(s)),
+rep AS (SELECT h FROM win GROUP BY h HAVING min(drow) <> max(drow)),
+hit AS MATERIALIZED (SELECT DISTINCT drow, p FROM win JOIN rep USING (h), unnest(range(s - 1, s + 49)) AS r(p)),
+runs AS (SELECT drow, min(p) AS s, max(p) + 1 AS e FROM (SELECT drow, p, p - row_number() OVER (PARTITION BY drow ORDER BY p) AS g FROM hit) GROUP BY drow, g),
+per AS (SELECT drow, sum(e - s)::BIGINT AS n, string_agg(s || ',' || e, ',' ORDER BY s) AS spans FROM runs GROUP BY drow)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_repeated, coalesce(spans, '') AS spans, coalesce(n, 0) > 0 AS repeated FROM w LEFT JOIN per USING (drow)
+"""
+ORACLES["op8_suffix_array_dedup"] = OP8
