@@ -6,8 +6,9 @@ one text, such as an insult with a mention of a group, which added weights miss.
 
 Fitting takes at most ``per_class`` labelled ids of each class to the driver (as
 term hashes). It keeps terms that tell the classes apart or are frequent, and
-learns by AdaGrad on the log loss; the constant is then moved to the classes'
-true shares. Scoring covers every whole text. Null and empty texts have no
+learns by AdaGrad on the log loss. Scores become probabilities by a logistic
+curve fitted on scores of documents outside the fold that made them, weighted
+to the classes' true shares. Scoring covers every whole text. Null and empty texts have no
 terms and get the constant's score. Without labels of both classes the score is
 the smoothed share of label 1. Repeated rows repeat their score; other columns
 pass through unless a result column has their name.
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from spotweave.llm import vectext as vt
 from spotweave.llm.labelled import bounded_sample
+from spotweave.llm.quality import logistic_curve
 
 PREFIXES = (4, 5)
 
@@ -49,9 +51,11 @@ def document_terms(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 class FactorizationMachine:
     """``terms``: the hashes known, in order; ``w0``, ``w``, ``v``: constant,
-    weights and vectors."""
+    weights and vectors; ``curve``: slope and shift to log odds."""
 
-    def __init__(self, rows: list[np.ndarray], y: np.ndarray, share: dict[int, int], rank: int = 8, epochs: int = 12, most_terms: int = 8192, rate: float = 0.1, decay: float = 1e-4, seed: int = 1):
+    curve = (1.0, 0.0)
+
+    def __init__(self, rows: list[np.ndarray], y: np.ndarray, rank: int = 8, epochs: int = 15, most_terms: int = 2048, rate: float = 0.2, decay: float = 1e-4, seed: int = 1):
         self._choose(rows, y, most_terms)
         known = [self.find(r) for r in rows]
         rng = np.random.default_rng(seed)
@@ -75,9 +79,7 @@ class FactorizationMachine:
                     d = g * x * x * (s - vi) + decay * vi
                     gv[ids] += d * d
                     v[ids] -= rate * d / np.sqrt(gv[ids])
-        taken = {k: max(1, int((y == k).sum())) for k in (0, 1)}
-        self.w0 = w0 + np.log(share[1] / share[0]) - np.log(taken[1] / taken[0])
-        self.w, self.v = w, v
+        self.w0, self.w, self.v = w0, w, v
 
     def _choose(self, rows: list[np.ndarray], y: np.ndarray, most: int) -> None:
         """Terms in three documents or more that differ most between the classes
@@ -134,11 +136,29 @@ class FactorizationMachine:
             doc, hit = pair // (len(self.terms) + 1), pair % (len(self.terms) + 1)
             cut = np.searchsorted(doc, np.arange(len(at)))
             for d in range(len(at) - 1):
-                z = self.logit(hit[cut[d] : cut[d + 1]])
+                z = self.curve[0] * self.logit(hit[cut[d] : cut[d + 1]]) + self.curve[1]
                 out[i + d] = float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
         return out
 
 
+def fit_calibrated(rows: list[np.ndarray], y: np.ndarray, share: dict[int, int], folds: int = 3, **options) -> FactorizationMachine:
+    """A machine whose curve is fitted on scores across ``folds``."""
+    logit = np.zeros(len(y))
+    fold = np.arange(len(y)) % folds
+    for f in range(folds):
+        inside = np.flatnonzero(fold != f)
+        if not 0 < y[inside].sum() < len(inside):
+            continue
+        part = FactorizationMachine([rows[i] for i in inside], y[inside], **options)
+        for i in np.flatnonzero(fold == f):
+            logit[i] = part.logit(part.find(rows[i]))
+    whole = FactorizationMachine(rows, y, **options)
+    taken = {k: max(1, int((y == k).sum())) for k in (0, 1)}
+    weight = np.where(y > 0, share[1] / taken[1], share[0] / taken[0]) * len(y) / sum(share.values())
+    whole.curve = logistic_curve(logit, y, weight)
+    return whole
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2500) -> FactorizationMachine | float:
     """A model, or the share of label 1 where there is nothing to tell apart."""
     sample, share = bounded_sample(docs, labels, id_col, text_col, label_col, per_class)
@@ -154,7 +174,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         if 0 < y.sum() < len(y):
             flat = got["terms"].combine_chunks()
             values, offs = flat.values.to_numpy().view(np.uint64), flat.offsets.to_numpy()
-            return FactorizationMachine([values[s:e] for s, e in zip(offs[:-1], offs[1:], strict=True)], y, share)
+            return fit_calibrated([values[s:e] for s, e in zip(offs[:-1], offs[1:], strict=True)], y, share)
     return (share.get(1, 0) + 1) / (sum(share.values()) + 2)
 
 
