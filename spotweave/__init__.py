@@ -1,0 +1,6 @@
+"""Spatial usage analytics on Spark.
+
+Given counts of features at places, the grouping of features, and coordinates
+or a graph of the places, tests whether the composition or abundance of each
+group varies over space, and whether it goes with covariates.
+"""
