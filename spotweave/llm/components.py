@@ -1,45 +1,5 @@
-"""Distributed connected components by alternating large and small stars.
+"""Connected components; see :mod:`spotweave.operators.components`."""
 
-Each round works on edges only: the least neighbour of a node comes from a
-partial aggregate, and joins back, so a node with very many neighbours never
-meets in one task. Rounds are cut by tables in the shared folder; nothing but a
-count and a checksum of the edges reaches the driver.
-"""
+from spotweave.operators.components import connected_components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from spotweave.llm.store import drop_table, write_table
-
-
-def _large(e: DataFrame) -> DataFrame:
-    both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    return both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-    rest = e.join(least, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rest.union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node of an edge between different nodes; ``root``
-    is the least node of its component. Repeated, reversed and null edges and
-    loops do no harm."""
-    e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = write_table(e, "edges")
-    before = None
-    while True:
-        following = write_table(_small(_large(e)), "stars")
-        drop_table(e)
-        e = following
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if tuple(now) == before:
-            break
-        before = tuple(now)
-    roots = e.select(F.col("v").alias("node")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
+__all__ = ["connected_components"]

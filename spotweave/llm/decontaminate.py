@@ -149,7 +149,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", ite
     made = ("n_words", "hits", "items")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     spark = docs.sparkSession
-    src = docs.select(*keep, F.col(text_col).alias("__t"), F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    # The text travels once, whether it is kept or only read.
+    read = text_col if text_col in keep else "__t"
+    src = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("__t")]), F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     types = {f.name: f.dataType.simpleString() for f in src.schema}
     blocks = _blocks(bench, item_id, item_text, block_bytes)
     following = next(blocks)
@@ -158,14 +160,15 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", ite
         following = next(blocks, None)
         last = following is None
         index = spark.sparkContext.broadcast(ItemIndex(ids, texts, span))
+        through = keep if last or read in keep else [*keep, read]
 
-        def run(batches: Iterator[pa.RecordBatch], index=index, last=last) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index=index, last=last, through=through) -> Iterator[pa.RecordBatch]:
             table = index.value
             for batch in batches:
                 col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
                 hits, items = col["hits"].to_pylist(), col["items"].to_pylist()
                 size = np.zeros(len(batch), dtype=np.int64)
-                for i, j, data, at in vt.text_chunks(col["__t"]):
+                for i, j, data, at in vt.text_chunks(col[read]):
                     words = vt.Words(data, at, vt.ALNUM)
                     size[i:j] = np.diff(words.first)
                     for d, (mask, which) in match_chunk(words, table).items():
@@ -176,11 +179,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", ite
                         items[i + d] = sorted({table.ids[n] for n in which if table.ids[n] is not None} | set(items[i + d] or ()))
                 tail = [pa.array(size)] if last else []
                 yield pa.RecordBatch.from_arrays(
-                    [*(col[c] for c in keep), *([] if last else [col["__t"]]), pa.array([x or [] for x in hits], pa.list_(pa.int32())), pa.array([x or [] for x in items], pa.list_(pa.string())), *tail],
-                    names=[*keep, *([] if last else ["__t"]), "hits", "items", *(["n_words"] if last else [])],
+                    [*(col[c] for c in through), pa.array([x or [] for x in hits], pa.list_(pa.int32())), pa.array([x or [] for x in items], pa.list_(pa.string())), *tail],
+                    names=[*through, "hits", "items", *(["n_words"] if last else [])],
                 )
 
-        out = [*keep, *([] if last else ["__t"]), "hits", "items"]
+        out = [*through, "hits", "items"]
         src = src.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in out) + (", n_words long" if last else ""))
         if not last:
             src = write_table(src, "decontaminate")

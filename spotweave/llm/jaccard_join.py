@@ -239,22 +239,41 @@ def similar_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str,
     return near.where("linked").select(F.col("c").alias("a"), F.col("x").alias("b")).union(more.select("c", "x"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """(id, n_shingles, component_id) for every row: documents link when
-    den * |A & B| >= num * |A | B| for their sets of ``shingle``-word shingles;
-    component_id is the least id reachable by links."""
+def _solve(docs: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows as (id, x, n_shingles, node), and (node, root) of all nodes."""
     for seed in range(4):
         sets = write_table(document_sets(docs, id_col, text_col, shingle, seed), "jaccard-sets")
         split = sets.where("node is not null").groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi")
         if split.isEmpty():
             break  # else two different sets share a name: name them anew
     links = write_table(similar_links(docs, sets, id_col, text_col, shingle, num, den, seed), "jaccard-links")
-    roots = write_table(connected_components(links), "jaccard-roots")
-    ids = sets.select("id", "n_shingles", "node")
-    named = ids.where("node is not null").groupBy("node").agg(F.min("id").alias("least")).join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
-    named = named.select("node", "least", F.coalesce("root", "node").alias("root"))
+    roots = write_table(connected_components(links), "jaccard-roots").withColumnRenamed("node", "__n")
+    nodes = sets.where("node is not null").select("node").distinct().join(roots, F.col("node") == F.col("__n"), "left")
+    return sets, nodes.select("node", F.coalesce("root", "node").alias("root"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """(id, n_shingles, component_id) for every row: documents link when
+    den * |A & B| >= num * |A | B| for their sets of ``shingle``-word shingles;
+    component_id is the least id reachable by links."""
+    sets, nodes = _solve(docs, id_col, text_col, shingle, num, den)
+    named = sets.where("node is not null").groupBy(F.col("node").alias("k")).agg(F.min("id").alias("least")).join(nodes, F.col("k") == F.col("node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.join(least, "root").select("node", "component_id")
-    out = ids.join(of, "node", "left")
+    out = sets.select("id", "n_shingles", "node").join(of, "node", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one document of each component: that of the least id (ties:
+    one text of it), once if rows repeat. Texts without words all stay."""
+    sets, nodes = _solve(docs, id_col, text_col, shingle, num, den)
+    rows = sets.where("node is not null").groupBy("id", "x", "node").agg(F.count(F.lit(1)).alias("many")).join(nodes, "node")
+    best = rows.groupBy(F.col("root").alias("r")).agg(F.min(F.struct("id", "x")).alias("best"))
+    both = rows.join(best, F.col("root") == F.col("r")).withColumn("stays", F.struct("id", "x").eqNullSafe(F.col("best")))
+    marked = both.where(~F.col("stays") | (F.col("many") > 1)).select(F.col("id").alias("__i"), F.col("x").alias("__y"), "stays")
+    marked = write_table(marked, "jaccard-marked")
+    near = F.broadcast(marked) if marked.count() <= BROADCAST_IDS else marked
+    all_docs = docs.withColumn("__x", F.xxhash64(F.col(text_col).cast("string"))).join(near, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__x") == F.col("__y")), "left")
+    once = all_docs.where("stays").dropDuplicates([id_col, "__x"])
+    return all_docs.where("stays is null").union(once).select(*docs.columns)

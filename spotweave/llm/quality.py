@@ -189,11 +189,13 @@ def score_quality(docs: DataFrame, model: Model | float, text_col: str = "text",
     if not isinstance(model, Model):
         return docs.select(*keep, F.lit(float(model)).alias(name))
     known = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(*keep, F.col(text_col).cast("string").alias("__t"))
+    # The text travels once, whether it is kept or only read.
+    read = text_col if text_col in keep else "__t"
+    src = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("__t")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.schema.get_field_index("__t"))
+            texts = b.column(b.schema.get_field_index(read))
             out = [known.value.score(x) for _, x in indicators(texts)]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(out, pa.float64())], names=[*keep, name])
 

@@ -1,50 +1,26 @@
-"""Lineage cuts through tables in the folder that all executors share."""
+"""Tables in the folder that all executors share, and bounded Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where
-    that is unset (single-machine tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="spotweave-"))
-    return _OWN[0]
-
+from spotweave.store import drop_table, shared_dir, write_table
 
-def write_table(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+#: Bytes of an Arrow batch on its way to Python, unless the session sets another bound.
+BATCH_BYTES = 8 << 20
+_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-    The files replace the lineage: a lost executor costs a re-read, not a
-    recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._spotweave_path = path
-    return out
 
-
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`write_table` that no later
-    plan reads."""
-    path = getattr(df, "_spotweave_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def bound_batches(spark: SparkSession) -> None:
+    """Lower Spark's default bound of Arrow batches (64 MB), of which a worker
+    holds several, with what it makes of them."""
+    if spark.conf.get(_KEY, None) in (None, "67108864b", str(64 << 20)):
+        spark.conf.set(_KEY, str(BATCH_BYTES))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+__all__ = ["bound_batches", "drop_table", "read", "shared_dir", "write_table"]

@@ -184,11 +184,13 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine | float, text_co
     if not isinstance(model, FactorizationMachine):
         return docs.select(*keep, F.lit(float(model)).alias(name))
     known = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(*keep, F.col(text_col).cast("string").alias("__t"))
+    # The text travels once, whether it is kept or only read.
+    read = text_col if text_col in keep else "__t"
+    src = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("__t")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = known.value.score_texts(b.column(b.schema.get_field_index("__t")))
+            out = known.value.score_texts(b.column(b.schema.get_field_index(read)))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(out, pa.float64())], names=[*keep, name])
 
     return src.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__t"), f"`{name}` double"]))
