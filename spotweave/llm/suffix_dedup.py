@@ -71,106 +71,112 @@ def _positions(docs: DataFrame, id_col: str, text_col: str, kgram: int, window:
 
 def _suffixes(texts: DataFrame, kgram: int, window: int) -> DataFrame:
     """(h, right, left, dk, pos, id): for each place, hashes of the ``window`` - 1
-    words after the k-gram, and of those before it, the nearest first."""
+    words after the k-gram, and of those before it, the nearest first. Contexts
+    have one length, filled up with zeros; no word hashes to zero."""
     reach = window - 1
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = batch.column(2)
+            lists = batch.column(2)
+            places, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
             for i, j, data, at in vt.text_chunks(batch.column(3)):
                 words = vt.Words(data, at, vt.NOT_SPACE)
                 g = words.ngrams(kgram)
-                short = (words.hash >> np.uint64(32)).astype(">u4")
-                for d in range(j - i):
-                    f, e = int(words.first[d]), int(words.first[d + 1])
-                    own = short[f:e]
-                    ps = sorted(set(places[i + d].as_py()))
-                    right = [own[p + kgram : p + kgram + reach].tobytes() for p in ps]
-                    left = [own[max(0, p - reach) : p][::-1].tobytes() for p in ps]
-                    n = len(ps)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(vt.as_long(g[[f + p for p in ps]])), pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array([batch.column(1)[i + d].as_py()] * n, pa.int64()), pa.array(ps, pa.int32()), pa.array([batch.column(0)[i + d].as_py()] * n, batch.column(0).type)],
-                        names=["h", "right", "left", "dk", "pos", "id"],
-                    )
+                count = np.diff(bounds[i : j + 1])
+                doc = np.repeat(np.arange(j - i), count)
+                pos = places[bounds[i] : bounds[j]].astype(np.int64)
+                first, end = words.first[doc], words.first[doc + 1]
+                # A margin on both sides keeps all indices inside.
+                short = np.zeros(len(words.hash) + 2 * (reach + kgram), dtype=np.uint32)
+                short[reach + kgram : reach + kgram + len(words.hash)] = np.maximum(words.hash >> np.uint64(32), 1)
+                here = first + pos
+                step = np.arange(reach)
+                to = here[:, None] + kgram + step
+                right = np.where(to < end[:, None], short[to + reach + kgram], 0).astype(">u4")
+                to = here[:, None] - 1 - step
+                left = np.where(to >= first[:, None], short[to + reach + kgram], 0).astype(">u4")
+                rows = pa.array(doc + i)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(vt.as_long(g[here])), _packed(right), _packed(left), batch.column(1).take(rows), pa.array(pos.astype(np.int32)), batch.column(0).take(rows)],
+                    names=["h", "right", "left", "dk", "pos", "id"],
+                )
 
     return texts.select("id", "dk", "places", "text").mapInArrow(run, f"h long, right binary, left binary, dk long, pos int, id {kind}")
 
 
-def _common(a: list[bytes], b: list[bytes], reach: int) -> np.ndarray:
-    """Number of equal leading words of each pair of contexts."""
-    width = 4 * reach
-    x = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in a), dtype=np.uint32).reshape(len(a), reach)
-    y = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in b), dtype=np.uint32).reshape(len(b), reach)
-    differ = x != y
-    n = np.where(differ.any(1), differ.argmax(1), reach)
-    return np.minimum(n, np.minimum([len(s) // 4 for s in a], [len(s) // 4 for s in b]))
+def _packed(x: np.ndarray) -> pa.Array:
+    """The rows of a table of numbers as equally long binaries."""
+    width = x.itemsize * x.shape[1]
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _common(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Number of equal leading words of the contexts i and j."""
+    end = (x[i] != x[j]) | (x[i] == 0)
+    return np.where(end.any(1), end.argmax(1), x.shape[1])
 
 
 def _neighbours(rows: DataFrame, kgram: int, window: int, hand_on: bool) -> DataFrame:
     """Matches of sorted rows with their neighbours of other documents, and with
     ``hand_on`` also the outermost rows of each partition (with h not null)."""
     reach, span = window - 1, kgram + window - 1
-    kind = rows.schema["id"].dataType
+    kind = rows.schema["id"].dataType.simpleString()
+    names = ["dk", "first", "last", "other", "h", "right", "left", "pos", "id"]
+
+    def matches(t: pa.Table) -> pa.RecordBatch | None:
+        h, dk, pos = (t[c].to_numpy() for c in ("h", "dk", "pos"))
+        new = np.concatenate(([True], dk[1:] != dk[:-1]))
+        head, run_of = np.flatnonzero(new), np.cumsum(new) - 1
+        before, after = head[run_of] - 1, np.concatenate((head[1:], [len(dk)]))[run_of]
+        me = np.arange(len(dk))
+        i, j = np.concatenate((me[before >= 0], me[after < len(dk)])), np.concatenate((before[before >= 0], after[after < len(dk)]))
+        same = h[i] == h[j]
+        i, j = i[same], j[same]
+        if not len(i):
+            return None
+        right, left = (np.frombuffer(b"".join(t[c].to_pylist()), dtype=np.uint32).reshape(-1, reach) for c in ("right", "left"))
+        x, y = _common(right, i, j), _common(left, i, j)
+        good = x + y + kgram >= span
+        i, j, x, y = i[good], j[good], x[good], y[good]
+        ids = t["id"].combine_chunks().take(pa.array(j))
+        none = [pa.nulls(len(i), c) for c in (pa.int64(), pa.binary(), pa.binary(), pa.int32(), ids.type)]
+        return pa.RecordBatch.from_arrays([pa.array(dk[i]), pa.array((pos[i] - y).astype(np.int32)), pa.array((pos[i] + kgram + x).astype(np.int32)), ids, *none], names=names)
+
+    def edges(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        col = {c: t[c].combine_chunks() for c in t.column_names}
+        none = [pa.nulls(len(t), c) for c in (pa.int32(), pa.int32(), col["id"].type)]
+        return pa.RecordBatch.from_arrays([col["dk"], *none, col["h"], col["right"], col["left"], col["pos"], col["id"]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: list[tuple] = []
-        begin: list[tuple] = []
+        carry: pa.Table | None = None
+        begin: pa.Table | None = None
         begun = False
-        id_type = pa.string()
-
-        def out(found: list[tuple], edge: list[tuple]) -> pa.RecordBatch:
-            col = lambda k, n: [None] * n if k is None else k
-            n, m = len(found), len(edge)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[0] for x in found] + [x[3] for x in edge], pa.int64()),
-                    pa.array([x[1] for x in found] + col(None, m), pa.int32()),
-                    pa.array([x[2] for x in found] + col(None, m), pa.int32()),
-                    pa.array([x[3] for x in found] + col(None, m), id_type),
-                    pa.array(col(None, n) + [x[0] for x in edge], pa.int64()),
-                    pa.array(col(None, n) + [x[1] for x in edge], pa.binary()),
-                    pa.array(col(None, n) + [x[2] for x in edge], pa.binary()),
-                    pa.array(col(None, n) + [x[4] for x in edge], pa.int32()),
-                    pa.array(col(None, n) + [x[5] for x in edge], id_type),
-                ],
-                names=["dk", "first", "last", "other", "h", "right", "left", "pos", "id"],
-            )
-
         for batch in batches:
-            id_type = batch.column(5).type
             for at in range(0, len(batch), 4096):
-                part = batch.slice(at, 4096)
-                rows = carry + list(zip(*(c.to_pylist() for c in part.columns), strict=True))
-                dk = np.array([r[3] for r in rows])
-                head = np.flatnonzero(np.concatenate(([True], dk[1:] != dk[:-1])))
-                run_of = np.cumsum(np.concatenate(([True], dk[1:] != dk[:-1]))) - 1
-                before = head[run_of] - 1
-                after = np.concatenate((head[1:], [len(rows)]))[run_of]
-                pairs = [(i, j) for i, j in enumerate(before.tolist()) if j >= 0 and rows[i][0] == rows[j][0]]
-                pairs += [(i, j) for i, j in enumerate(after.tolist()) if j < len(rows) and rows[i][0] == rows[j][0]]
-                found = []
-                if pairs:
-                    r = _common([rows[i][1] for i, _ in pairs], [rows[j][1] for _, j in pairs], reach)
-                    left = _common([rows[i][2] for i, _ in pairs], [rows[j][2] for _, j in pairs], reach)
-                    for (i, j), x, y in zip(pairs, r.tolist(), left.tolist(), strict=True):
-                        if x + y + kgram >= span:
-                            found.append((rows[i][3], rows[i][4] - y, rows[i][4] + kgram + x, rows[j][5]))
+                part = pa.Table.from_batches([batch.slice(at, 4096)])
                 if hand_on and not begun:
-                    begin += rows[len(carry) :]
                     # The first run of one document, and the first row after it.
-                    d = next((i for i, x in enumerate(begin) if x[3] != begin[0][3]), None)
-                    if d is not None:
-                        begin, begun = begin[: d + 1], True
-                last = int(head[-1])
-                carry = rows[max(0, last - 1) :]
-                if found:
-                    yield out(found, [])
-        if hand_on and carry:
-            yield out([], begin + carry)
-
-    k = kind.simpleString()
-    return rows.mapInArrow(run, f"dk long, first int, last int, other {k}, h long, right binary, left binary, pos int, id {k}")
+                    begin = part if begin is None else pa.concat_tables([begin, part])
+                    dk = begin["dk"].to_numpy()
+                    other = np.flatnonzero(dk != dk[0])
+                    if len(other):
+                        begin, begun = begin.slice(0, int(other[0]) + 1), True
+                t = part if carry is None else pa.concat_tables([carry, part])
+                found = matches(t)
+                if found is not None and len(found):
+                    yield found
+                # The last run may go on; the row before it is its neighbour.
+                dk = t["dk"].to_numpy()
+                turn = np.flatnonzero(dk[1:] != dk[:-1])
+                carry = t.slice(int(turn[-1]) if len(turn) else 0)
+        if hand_on and carry is not None:
+            yield edges(begin)
+            yield edges(carry)
+
+    return rows.select("h", "right", "left", "dk", "pos", "id").mapInArrow(run, f"dk long, first int, last int, other {kind}, h long, right binary, left binary, pos int, id {kind}")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kgram: int = 20, window: int = 31) -> DataFrame:
