@@ -23,8 +23,23 @@ def _call(cls: str, method: str, *args: Column | float) -> Column:
     return F.try_reflect(F.lit(cls), F.lit(method), *(_num(a) for a in args)).cast("double")
 
 
+#: Lanczos' approximation with g = 607/128: fixed values.
+_LANCZOS_G = 607.0 / 128.0
+_LANCZOS = (
+    0.99999999999999709182, 57.156235665862923517, -59.597960355475491248, 14.136097974741747174, -0.49191381609762019978, 0.33994649984811888699e-4, 0.46523628927048575665e-4, -0.98374475304879564677e-4,
+    0.15808870322491248884e-3, -0.21026444172410488319e-3, 0.21743961811521264320e-3, -0.16431810653676389022e-3, 0.84418223983852743293e-4, -0.26190838401581408670e-4, 0.36899182659531622704e-5,
+)
+
+
 def log_gamma(x: Column | float) -> Column:
-    return _call(_GAMMA, "logGamma", x)
+    """ln of the gamma function for x > 0, in Spark's own arithmetic, so that it
+    may stand inside aggregates."""
+    x = _num(x)
+    series = F.lit(_LANCZOS[0])
+    for i, c in enumerate(_LANCZOS[1:], 1):
+        series = series + F.lit(c) / (x + F.lit(float(i)))
+    t = x + F.lit(_LANCZOS_G + 0.5)
+    return (x + 0.5) * F.ln(t) - t + F.ln(F.lit(2.5066282746310002) * series / x)
 
 
 def gamma_q(a: Column | float, x: Column | float) -> Column:

@@ -15,10 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spotweave.blas import one_thread
 from spotweave.functions.dist import chi2_sf
 from spotweave.functions.fdr import adjust
 from spotweave.schema import Dataset, one_of
 
+one_thread()
+
 #: A spatial fit solves for places x (features - 1) unknowns at once, up to so many.
 MOST_UNKNOWNS = 4000
 

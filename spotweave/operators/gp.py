@@ -18,8 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spotweave.blas import one_thread
 from spotweave.schema import one_of
 
+one_thread()
+
 S2_BOUNDS = (1e-3, 1e3)
 EPS_BOUNDS = (1e-5, 1e1)
 #: Above so many places, dense hyper-parameters come from a subset of this size.

@@ -10,9 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotweave.blas import one_thread
 from spotweave.operators.components import connected_components
 from spotweave.store import drop_table, write_table
 
+one_thread()
+
 #: Up to so many coordinates, neighbours are searched in grid cells; beyond, by blocks of all pairs.
 GRID_DIMS = 3
 #: Places in a block of the all-pairs search.
@@ -80,9 +83,9 @@ def _block_knn(points: DataFrame, k: int, n: int) -> DataFrame:
     and only the k best of each block survive it."""
     blocks = max(1, -(-n // BLOCK))
     b = points.withColumn("b", F.pmod(F.xxhash64("spot_id"), F.lit(blocks)))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = b.select("spot_id", "coords", F.col("b").alias("bi"), F.explode(every).cast("long").alias("bj"))
-    right = b.select("spot_id", "coords", F.explode(every).cast("long").alias("bi"), F.col("b").alias("bj"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    left = b.select("spot_id", "coords", F.col("b").alias("bi"), every.alias("bj"))
+    right = b.select("spot_id", "coords", every.alias("bi"), F.col("b").alias("bj"))
 
     def best(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(p) or not len(q):

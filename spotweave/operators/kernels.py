@@ -16,8 +16,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spotweave.blas import one_thread
 from spotweave.store import drop_table, write_table
 
+one_thread()
+
 #: Up to so many places the kernel is inverted densely on the driver.
 DENSE_LIMIT = 5000
 #: Up to so many precision entries (16 bytes each) are broadcast; beyond, use distributed_apply.

@@ -6,8 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spotweave.blas import one_thread
 from spotweave.functions.dist import log_gamma
 
+one_thread()
+
 
 def multinomial(rows: DataFrame, keys: list[str], mask: str | None = None, constant: bool = True) -> DataFrame:
     """(keys, ll) for rows (keys, spot_id, n, prob): log-likelihood of the counts

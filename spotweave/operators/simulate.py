@@ -7,8 +7,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from spotweave.blas import one_thread
 from spotweave.operators.glm import softmax
 
+one_thread()
+
 
 def simulate_group(rng: np.random.Generator, low: np.ndarray, n_features: int, design: np.ndarray, beta: float | np.ndarray = 1.0, s2: float = 0.6, theta: float = 0.5, mean_total: float = 10.0) -> np.ndarray:
     """Counts (places, features). ``low``: Cholesky factor of the spatial

@@ -355,7 +355,7 @@ def component_filter(spark: SparkSession, d: str) -> DataFrame:
 
 # Loaders ----------------------------------------------------------------------------
 
-_TRANS = """ev AS MATERIALIZED (SELECT user_id::DOUBLE AS x, date_diff('second', (SELECT min(ts) FROM events), ts) / 60.0::DOUBLE AS y, value AS qv, list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1 AS cw, 'cell_' || user_id AS cell_id FROM events)"""
+_TRANS = """ev AS MATERIALIZED (SELECT user_id::DOUBLE AS x, date_sub('second', (SELECT min(ts) FROM events), ts) / 60.0::DOUBLE AS y, value AS qv, list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1 AS cw, 'cell_' || user_id AS cell_id FROM events)"""
 _BOUNDS = (0.0, 120.0, 0.0, 43_200.0)
 
 
@@ -403,7 +403,7 @@ def in_tissue_semijoin(spark: SparkSession, d: str) -> DataFrame:
 
 # Likelihoods and models ---------------------------------------------------------------
 
-_PROB = f"{q.VIEW}, po AS (SELECT gene_id, iso_id, sum(n) / sum(sum(n)) OVER (PARTITION BY gene_id) AS p FROM ct GROUP BY ALL)"
+_PROB = f"{q.VIEW}, po AS (SELECT gene_id, iso_id, c / sum(c) OVER (PARTITION BY gene_id) AS p FROM (SELECT gene_id, iso_id, sum(n) AS c FROM ct GROUP BY ALL))"
 
 
 def _with_pooled(spark: SparkSession, d: str) -> DataFrame:
