@@ -26,9 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spotweave.blas import one_thread
 from spotweave.llm.components import connected_components
 from spotweave.llm.store import write_table
 
+one_thread()
+
 
 def plan_tables(largest: int, threshold: float, miss: float) -> tuple[int, int]:
     """(bits, tables): about eight unrelated vectors a bucket in the largest

@@ -12,6 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from spotweave.blas import one_thread
+
+one_thread()
+
 #: Texts are handled in chunks of about this many bytes (one longer text makes
 #: a chunk of its own), which bounds the memory of the NumPy work arrays.
 CHUNK_BYTES = 1 << 20
