@@ -186,7 +186,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = write_table(_positions(docs, id_col, text_col, kgram, window), "suffix-positions")
     each = base.select("dk", F.explode(F.arrays_zip("h", "p")).alias("s")).select("dk", F.col("s.h").alias("h"), F.col("s.p").alias("p"))
     often = each.groupBy("h").agg(F.min("dk").alias("lo"), F.max("dk").alias("hi")).where("lo <> hi").select("h")
-    places = each.join(often, "h").groupBy("dk").agg(F.collect_list("p").alias("places")).withColumnRenamed("dk", "k")
+    # As a table of its own, so that a join with a very common passage can be split.
+    often = write_table(often, "suffix-often")
+    places = write_table(each.join(often, "h").groupBy("dk").agg(F.collect_list("p").alias("places")).withColumnRenamed("dk", "k"), "suffix-places")
     texts = docs.select(F.col(id_col).alias("id"), _document_key(id_col, text_col).alias("dk"), F.col(text_col).cast("string").alias("text"))
     rows = _suffixes(texts.join(places, F.col("dk") == F.col("k")), kgram, window)
     found = None
