@@ -15,7 +15,7 @@ def normalise_barcode(c):
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a names file with their 1-based numbers; names files are short
     (one line a row or column of the matrix)."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", r"\n+$", ""), "\n")).alias("at", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n+$", ""), "\n")).alias("at", "line"))
     return lines.select((F.col("at") + 1).cast("long").alias("at"), F.split("line", "\t").alias("f"))
 
 

@@ -32,7 +32,7 @@ def read_positions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scale_factors(spark: SparkSession, folder: str) -> dict[str, float]:
-    return json.loads(spark.read.option("wholetext", True).text(f"{folder}/scalefactors_json.json").first()[0])
+    return json.loads(spark.read.text(f"{folder}/scalefactors_json.json", wholetext=True).first()[0])
 
 
 def with_positions(spots: DataFrame, positions: DataFrame) -> DataFrame:

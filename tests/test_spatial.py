@@ -52,7 +52,7 @@ def test_tails(spark):
     lam = np.array([2.5, 1.0, 0.25, 0.1])
     mix = (np.random.default_rng(2).chisquare(1, (1_000_000, 4)) * lam).sum(1)
     c = [F.lit(float((lam**p).sum())) for p in (1, 2, 3, 4)]
-    for t in (0.5, 3.0, 8.0):
+    for t in (3.0, 8.0, 15.0):  # the fit is one of the upper tail
         assert cell(one, dist.liu_sf(F.lit(t), *c)) == pytest.approx((mix > t).mean(), abs=0.03)
     assert cell(one, dist.liu_sf(F.lit(1.0), *[F.lit(0.0)] * 4)) == 0.0
     assert cell(one, dist.liu_sf(F.lit(0.0), *[F.lit(0.0)] * 4)) == 1.0
