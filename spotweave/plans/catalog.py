@@ -16,6 +16,7 @@ from spotweave.operators.design import design_table, factor_moments
 from spotweave.operators.kernels import TorusKernel, distributed_apply
 from spotweave.plans import models, sqltext as q, views
 from spotweave.schema import Dataset
+from spotweave.session import ship
 from spotweave.sources import visium, xenium
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -518,6 +519,7 @@ def kernel_apply_distributed(spark: SparkSession, d: str) -> DataFrame:
 
 @add("simulate_counts")
 def simulate_counts(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
     side = np.arange(6)
     xy = np.stack([g.ravel() for g in np.meshgrid(side, side)], axis=1).astype(float)
     return simulate.simulate(spark, gp.rbf(xy, xy, 1.5), n_groups=10, n_features=3)

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from spotweave.operators.design import design_table
 from spotweave.schema import Dataset
+from spotweave.session import ship
 
 WIDTH = 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
