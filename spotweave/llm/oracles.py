@@ -102,3 +102,14 @@ per AS (SELECT drow, sum(e - s)::BIGINT AS n, string_agg(s || ',' || e, ',' ORDE
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_repeated, coalesce(spans, '') AS spans, coalesce(n, 0) > 0 AS repeated FROM w LEFT JOIN per USING (drow)
 """
 ORACLES["op8_suffix_array_dedup"] = OP8
+
+OP10 = """
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+good AS MATERIALIZED (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e)) >= 0.93::DOUBLE),
+reach AS MATERIALIZED (WITH RECURSIVE w(a, b) AS (SELECT r, r FROM v UNION SELECT w.a, l.b FROM w JOIN link l ON l.a = w.b) SELECT a, b FROM w),
+comp AS (SELECT reach.a AS r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a),
+deg AS (SELECT a AS r, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN comp USING (r) LEFT JOIN deg USING (r)
+"""
+ORACLES["op10_embedding_dedup"] = OP10

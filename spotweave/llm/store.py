@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spotweave.session import ship
 from spotweave.store import drop_table, shared_dir, write_table
 
 #: Bytes of an Arrow batch on its way to Python, unless the session sets another bound.
@@ -19,6 +20,7 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
