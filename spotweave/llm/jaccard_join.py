@@ -4,7 +4,8 @@ A document is the set of its word shingles. Its parity sketch flips one bit a
 shingle, so the Hamming distance of two sketches never exceeds the size of the
 symmetric difference of the sets. Sets of sizes a and b with similarity t differ in at
 most D = (a + b)(1 - t)/(1 + t) elements, so if the sketch is cut into D + 1
-segments, linked documents agree in one segment at least. Sizes fall into bands
+segments (and a few to spare, as empty ones say nothing), linked documents agree
+in one segment at least. Sizes fall into bands
 such that partners lie in the same or the next band; each band pair is a level
 with its own number of segments. (A segment is kept as one 64-bit value: the
 exclusive or of a random value for each bit set. Segments of equal bits have
@@ -13,15 +14,15 @@ equal values.)
 Work is on classes, one for each distinct set. Documents that agree in a segment are
 not paired with each other. Instead:
 
-1. The class of a segment's group that meets most others is its pivot; all
-   members are compared with the pivot exactly.
-2. Two members x, y that are not both linked to their pivot c can only link if
-   what sets them apart from c overlaps: |x^c| + |y^c| - 2|x^c & y^c| <= D. So
-   short prefixes of these (small) differences are joined, those elements first
-   that c lacks, and what meets is compared exactly.
+1. The class of a segment's group with most segments shared is its pivot; all
+   members are held against the pivot.
+2. Members that this leaves in different components are held against each other
+   by whole sketches, in blocks, without making rows of pairs.
 
-No link is lost, and a group of n near copies costs n comparisons and its
-differences, not n squared. Components of the links follow by stars.
+A pair is ruled out if its sketches differ in more than D bits; what remains is
+compared exactly. No link is lost. A group of n near copies costs n comparisons
+of texts, and rows for possible pairs across components only. Components of the
+links follow by stars.
 
 Defined cases: a null or wordless text has an empty set, size 0 and no links; a
 text with fewer words than a shingle is one shingle; copies share a class;
@@ -32,6 +33,7 @@ gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,6 +48,8 @@ from spotweave.llm.store import drop_table, write_table
 
 #: Up to so many candidate ids (16 MB) they are broadcast to pick texts; beyond, texts are picked by a shuffled join.
 BROADCAST_IDS = 1_000_000
+#: Members of a key that a task holds against as many others.
+BLOCK = 2000
 #: Partitions of the sketch tried before empty segments are used as they are.
 SEEDS = 6
 
@@ -72,6 +76,21 @@ def shingle_set(h: np.ndarray, k: int) -> np.ndarray:
     return np.unique(vt.ngrams(h, min(k, len(h))))
 
 
+@lru_cache(maxsize=4096)
+def spare_segments(d: int, least: int) -> int:
+    """Segments beyond d + 1, so that sets of ``least`` or more elements seldom
+    have more empty ones: the expected number and three deviations."""
+    spare = 0
+    for _ in range(8):
+        p = d + 1 + spare
+        empty = p * math.exp(-least / p)
+        need = math.ceil(empty + 3 * math.sqrt(empty)) if empty > 0.01 else 0
+        if need <= spare:
+            break
+        spare = need
+    return min(spare, d + 1)
+
+
 def segment_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """Join keys of a set: its sketch segments at the levels of its band."""
     n = len(s)
@@ -84,7 +103,8 @@ def segment_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
         d = most_apart(int(b[level + 1] - 1 + b[level + 2] - 1), num, den)
         if d < 1:
             continue  # only equal sets are that close, and they are one class
-        p = d + 1
+        spare = spare_segments(d, int(b[level]))
+        p = d + 1 + spare
         step = (1 << 64) // p
         bounds = np.arange(1, p, dtype=np.uint64) * np.uint64(step)
         for seed in range(SEEDS):
@@ -95,11 +115,14 @@ def segment_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
             value = run[at[1:]] ^ run[at[:-1]]
             tag = vt.splitmix(np.arange(p, dtype=np.uint64) + np.uint64((level << 40) + (seed << 32)))
             full = at[1:] > at[:-1]
-            if full.all() or seed == SEEDS - 1:
+            if seed == SEEDS - 1:
                 out.append(vt.splitmix(value ^ tag))
                 break
-            # Both of a pair that agrees in an empty segment only go on to the next seed.
             out.append(vt.splitmix(value ^ tag)[full])
+            # Linked sets agree in spare + 1 segments. If one of them has no more
+            # than ``spare`` empty ones, they agree in a full one; else both go on.
+            if (~full).sum() <= spare:
+                break
     return np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=np.uint64)
 
 
@@ -157,64 +180,197 @@ def _keys(docs: DataFrame, text_col: str, k: int, num: int, den: int, seed: int)
     return src.mapInArrow(run, "key long, node long")
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int, prefixes: bool) -> DataFrame:
-    """Exact comparison of node pairs (c, x): (c, x, apart, linked), and with
-    ``prefixes`` the parts of the difference that are joined, for the roles of
-    the nearer (``small``) and the farther (``large``) of two members."""
-    t = texts.select(F.col("node"), F.col("text"))
-    both = pairs.join(t.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x").join(t.select(F.col("node").alias("c"), F.col("text").alias("tc")), "c").select("c", "x", "tc", "tx")
+def _shared(keys: DataFrame) -> DataFrame:
+    """The distinct (key, node) of keys with two nodes or more.
+
+    Keys are sent once. A partition is sorted and read as a stream that holds one
+    row at a time, so a key of any number of documents needs no memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = node = np.zeros(0, dtype=np.int64)
+        sent = False
+        for batch in batches:
+            key, node = np.concatenate((key, batch.column(0).to_numpy())), np.concatenate((node, batch.column(1).to_numpy()))
+            fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+            key, node = key[fresh], node[fresh]
+            head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.concatenate((head, [len(key)])))
+            many = np.repeat(size > 1, size)
+            if sent:
+                many[0] = False  # handed out with the batch before
+            yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(node[many])], names=["key", "node"])
+            sent = bool(size[-1] > 1) or (sent and len(head) == 1)
+            key, node = key[-1:], node[-1:]
+
+    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long")
+
+
+def _pivot_pairs(weighted: DataFrame) -> DataFrame:
+    """(c, x): each key's node of most weight with each other one of the key,
+    read as a sorted stream that holds one row at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, pivot = None, 0
+        for batch in batches:
+            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            head = np.concatenate(([True], key[1:] != key[:-1]))
+            group = np.cumsum(head) - 1
+            first = node[head].copy()
+            if last is not None and key[0] == last:
+                first[0], head[0] = pivot, False
+            last, pivot = key[-1], first[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(first[group][~head]), pa.array(node[~head])], names=["c", "x"])
+
+    ordered = weighted.select("key", "node", "weight").repartition("key").sortWithinPartitions("key", F.desc("weight"), "node")
+    return ordered.mapInArrow(run, "c long, x long").distinct()
+
+
+def sketch(s: np.ndarray, num: int, den: int) -> bytes:
+    """Parity sketch with 16 bits or more for each element that may differ; the
+    number of bits is a power of two, so that a longer sketch folds to a shorter."""
+    d = max(1, most_apart(2 * len(s), num, den))
+    bits = max(64, 1 << (16 * d - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _fold(value: int, size: int, to: int) -> int:
+    while size > to:
+        size //= 2
+        value = (value >> (8 * size)) ^ (value & ((1 << (8 * size)) - 1))
+    return value
+
+
+def may_link(a: tuple[int, bytes], b: tuple[int, bytes], num: int, den: int) -> bool:
+    """Whether sizes and sketches allow two sets to be similar; never wrong if
+    the answer is no."""
+    (n, s), (m, t) = a, b
+    if den * min(n, m) < num * max(n, m):
+        return False
+    to = min(len(s), len(t))
+    x = _fold(int.from_bytes(s, "little"), len(s), to) ^ _fold(int.from_bytes(t, "little"), len(t), to)
+    return x.bit_count() <= most_apart(n + m, num, den)
 
-    def sets(texts: pa.Array) -> list[np.ndarray]:
-        return [s for _, s in _text_sets(texts, k)]
+
+def _sketches(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(node, n, sk) of (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(len(s), sketch(s, num, den)) for _, s in _text_sets(batch.column(1), k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([s for _, s in made], pa.binary())], names=["node", "n", "sk"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, sk binary")
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (c, x) that their sketches don't rule out."""
+    left, right = (sketches.select(F.col("node").alias(v), F.col("n").alias(f"n{v}"), F.col("sk").alias(f"s{v}")) for v in "cx")
+    both = pairs.select("c", "x").join(left, "c").join(right, "x").select("c", "x", "nc", "sc", "nx", "sx")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nc, sc, nx, sx = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
+            ok = pa.array([may_link(a, b, num, den) for a, b in zip(zip(nc, sc, strict=True), zip(nx, sx, strict=True), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["c", "x"])
+
+    return both.mapInArrow(run, "c long, x long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (c, x) that are similar by their exact sets."""
+    t = texts.select("node", "text")
+    both = pairs.join(t.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x").join(t.select(F.col("node").alias("c"), F.col("text").alias("tc")), "c").select("c", "x", "tc", "tx")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int | None, np.ndarray] = (None, np.zeros(0, dtype=np.uint64))
         for batch in batches:
             for at in range(0, len(batch), 64):
                 part = batch.slice(at, 64)
-                cs, xs = part.column(0).to_pylist(), part.column(1).to_pylist()
-                mine = sets(part.column(3))
-                apart, linked, small, large = [], [], [], []
-                for i, (c, sx) in enumerate(zip(cs, mine, strict=True)):
+                linked = []
+                for i, sx in _text_sets(part.column(3), k):
+                    c = part.column(0)[i].as_py()
                     if held[0] != c:
-                        held = (c, sets(part.column(2).slice(i, 1))[0])
-                    sc = held[1]
-                    more = np.setdiff1d(sx, sc, assume_unique=True)
-                    less = np.setdiff1d(sc, sx, assume_unique=True)
-                    d, shared = len(more) + len(less), len(sx) - len(more)
-                    ok = den * shared >= num * (len(sx) + len(sc) - shared)
-                    apart.append(d)
-                    linked.append(ok)
-                    if prefixes:
-                        order = np.concatenate((more, less))  # each in hash order: the same order for all members of c
-                        n, top = len(sx), len(sx) * (den - num) // num
-                        least = (1 + d - -(-d * (den - num) // (den + num))) if ok else 2 * d - top
-                        t_min = max(1, -(-least // 2))
-                        small.append(vt.as_long(order[: max(1, d - t_min + 1)]))
-                        large.append(vt.as_long(order[: max(1, min(d, top + 1))]))
-                cols = [part.column(0), part.column(1), pa.array(apart, pa.int64()), pa.array(linked, pa.bool_())]
-                names = ["c", "x", "apart", "linked"]
-                if prefixes:
-                    cols += [pa.array(small, pa.list_(pa.int64())), pa.array(large, pa.list_(pa.int64()))]
-                    names += ["small", "large"]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return both.mapInArrow(run, "c long, x long, apart long, linked boolean" + ", small array<long>, large array<long>" * prefixes)
+                        held = (c, next(s for _, s in _text_sets(part.column(2).slice(i, 1), k)))
+                    shared = len(np.intersect1d(sx, held[1], assume_unique=True))
+                    linked.append(den * shared >= num * (len(sx) + len(held[1]) - shared))
+                ok = pa.array(linked, pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], names=["c", "x"])
+
+    return both.mapInArrow(run, "c long, x long")
+
+
+def _apart(member: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root) of the keys whose nodes aren't of one component yet."""
+    named = member.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    named = write_table(named, "jaccard-named")
+    split = write_table(named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi and m > 2").select("key", "m"), "jaccard-split")
+    return named.join(split, "key")
+
+
+def _within_keys(apart: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of nodes of one key but different components that their sketches
+    don't rule out. A key's nodes are dealt into blocks of about BLOCK; a task
+    takes two blocks, so no group is too large for one. Pairs are compared by
+    their sketches where they lie, and only possible ones become rows."""
+    sk = sketches.select(F.col("node").alias("s"), "n", "sk")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = apart.withColumn("nb", blocks).withColumn("i", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    rows = rows.select("key", "node", "root", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
+    rows = rows.select("key", "node", "root", "i", F.least("i", "j").alias("b1"), F.greatest("i", "j").alias("b2"))
+    rows = rows.join(sk, F.col("node") == F.col("s")).select("key", "b1", "b2", "i", "node", "root", "n", "sk")
+
+    def flush(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        if len(rows) <= 16:
+            for p, a in enumerate(rows):
+                for b in rows[:p]:
+                    if a[2] != b[2] and (a[0] != b[0] or a[5] == a[6]) and may_link(a[3:5], b[3:5], num, den):
+                        yield a[1], b[1]
+            return
+        width = min(len(r[4]) for r in rows)
+        bits = np.stack([np.frombuffer(_fold(int.from_bytes(r[4], "little"), len(r[4]), width).to_bytes(width, "little"), dtype=np.uint64) for r in rows])
+        n, root, node, block = (np.array([r[c] for r in rows]) for c in (3, 2, 1, 0))
+        same = rows[0][5] == rows[0][6]
+        for lo in range(0, len(rows), 16):
+            hi = min(len(rows), lo + 16)
+            total = n[lo:hi, None] + n[None]
+            apart = np.bitwise_count(bits[lo:hi, None] ^ bits[None]).sum(2, dtype=np.int64)
+            ok = (apart <= total * (den - num) // (den + num)) & (root[lo:hi, None] != root[None]) & (np.arange(lo, hi)[:, None] > np.arange(len(rows)))
+            ok &= den * np.minimum(n[lo:hi, None], n[None]) >= num * np.maximum(n[lo:hi, None], n[None])
+            if not same:
+                ok &= block[lo:hi, None] != block[None]
+            for p, q in zip(*np.nonzero(ok), strict=True):
+                yield int(node[lo + p]), int(node[q])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        at: tuple | None = None
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            key, b1, b2, i, node, root, n, sk = (c.to_pylist() for c in batch.columns)
+            for r in zip(key, b1, b2, i, node, root, n, sk, strict=True):
+                if r[:3] != at:
+                    out += flush(held)
+                    held, at = [], r[:3]
+                held.append((r[3], r[4], r[5], r[6], r[7], r[1], r[2]))
+            yield _pair_batch(out)
+        yield _pair_batch(list(flush(held)))
+
+    ordered = rows.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
+    return ordered.mapInArrow(run, "c long, x long").distinct()
+
+
+def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=["c", "x"])
 
 
 def similar_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, seed: int) -> DataFrame:
     """Links (a, b) between nodes; enough of them to connect all that links connect."""
     keys = _keys(docs, text_col, k, num, den, seed)
-    # Copies collapse before they are counted: a key counts its distinct classes.
-    often = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    often = write_table(often, "jaccard-keys")
-    member = write_table(keys.join(often, "key").distinct(), "jaccard-members")
-    drop_table(often)
-    met = member.groupBy("key").agg(F.count(F.lit(1)).alias("met"))
-    weight = member.join(met, "key").groupBy("node").agg(F.sum("met").alias("weight"))
-    pivot = member.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("c"))
-    pairs = write_table(member.join(pivot, "key").where("node <> c").select("c", F.col("node").alias("x")).distinct(), "jaccard-pairs")
-    drop_table(member)
+    member = write_table(_shared(keys), "jaccard-members")
+    weight = member.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
+    pairs = write_table(_pivot_pairs(member.join(weight, "node")), "jaccard-pairs")
 
     # One text for each node that is in a pair.
     wanted = pairs.select(F.col("c").alias("node")).union(pairs.select(F.col("x").alias("node"))).distinct()
@@ -225,18 +381,16 @@ def similar_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str,
     pick = one.select("node", F.col("row.id").alias("__i"), F.col("row.x").alias("__y"))
     texts = texts.join(F.broadcast(pick) if few else pick, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__x") == F.col("__y")))
     texts = write_table(texts.select("node", "text").dropDuplicates(["node"]), "jaccard-texts")
-
-    near = write_table(_compare(pairs, texts, k, num, den, True), "jaccard-near")
-    drop_table(pairs)
-    # Members that their pivot doesn't link, against each other and those it links.
-    group = near.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("linked"), 1)).alias("off")).where("n > 1 and off > 0").select("c")
-    left = near.join(group, "c", "left_semi")
-    small = left.select("c", F.col("x").alias("y"), F.col("apart").alias("dy"), F.col("linked").alias("ly"), F.explode("small").alias("e"))
-    large = left.select("c", "x", F.col("apart").alias("dx"), F.col("linked").alias("lx"), F.explode("large").alias("e"))
-    met = large.join(small, ["c", "e"]).where("x <> y and dx >= dy and not (lx and ly)")
-    cross = write_table(met.select(F.least("x", "y").alias("c"), F.greatest("x", "y").alias("x")).distinct(), "jaccard-cross")
-    more = _compare(cross, texts, k, num, den, False).where("linked")
-    return near.where("linked").select(F.col("c").alias("a"), F.col("x").alias("b")).union(more.select("c", "x"))
+    sketches = write_table(_sketches(texts, k, num, den), "jaccard-sketches")
+
+    near = write_table(_verified(_possible(pairs, sketches, num, den), texts, k, num, den), "jaccard-near")
+    roots = write_table(connected_components(near, "c", "x"), "jaccard-stars")
+    # What pivots leave apart: members of one key in different components.
+    cross = write_table(_within_keys(_apart(member, roots), sketches, num, den), "jaccard-cross")
+    done = pairs.select(F.least("c", "x").alias("c"), F.greatest("c", "x").alias("x"))
+    cross = cross.join(done, ["c", "x"], "left_anti")
+    more = _verified(cross, texts, k, num, den)
+    return near.select(F.col("c").alias("a"), F.col("x").alias("b")).union(more.select("c", "x"))
 
 
 def _solve(docs: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
