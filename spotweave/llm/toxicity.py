@@ -6,9 +6,9 @@ one text, such as an insult with a mention of a group, which added weights miss.
 
 Fitting takes at most ``per_class`` labelled ids of each class to the driver (as
 term hashes). It keeps terms that tell the classes apart or are frequent, and
-learns by AdaGrad on the log loss. Scores become probabilities by a logistic
-curve fitted on scores of documents outside the fold that made them, weighted
-to the classes' true shares. Scoring covers every whole text. Null and empty texts have no
+learns by AdaGrad on the log loss. Scores become probabilities by the best rising
+steps (isotonic regression, with a logistic curve to order ties) on scores of
+documents outside the fold that made them, weighted to the classes' true shares. Scoring covers every whole text. Null and empty texts have no
 terms and get the constant's score. Without labels of both classes the score is
 the smoothed share of label 1. Repeated rows repeat their score; other columns
 pass through unless a result column has their name.
@@ -50,12 +50,14 @@ def document_terms(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 class FactorizationMachine:
-    """``terms``: the hashes known, in order; ``w0``, ``w``, ``v``: constant,
-    weights and vectors; ``curve``: slope and shift to log odds."""
+    """``terms``: the hashes known, in order; ``value``: what each counts; ``w0``,
+    ``w``, ``v``: constant, weights and vectors; ``curve``: slope and shift to log odds;
+    ``steps``: scores and the probabilities they stand for."""
 
     curve = (1.0, 0.0)
+    steps: tuple[np.ndarray, np.ndarray] | None = None
 
-    def __init__(self, rows: list[np.ndarray], y: np.ndarray, rank: int = 8, epochs: int = 15, most_terms: int = 2048, rate: float = 0.2, decay: float = 1e-4, seed: int = 1):
+    def __init__(self, rows: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 15, most_terms: int = 2048, rate: float = 0.1, decay: float = 1e-4, seed: int = 1):
         self._choose(rows, y, most_terms)
         known = [self.find(r) for r in rows]
         rng = np.random.default_rng(seed)
@@ -65,10 +67,10 @@ class FactorizationMachine:
         for _ in range(epochs):
             for i in rng.permutation(len(y)):
                 ids = known[i]
-                x = 1.0 / np.sqrt(max(1, len(ids)) / 8) if len(ids) > 8 else 1.0
-                vi = v[ids]
+                x = self.value[ids]
+                vi = v[ids] * x[:, None]
                 s = vi.sum(0)
-                z = w0 + x * w[ids].sum() + 0.5 * x * x * ((s * s).sum() - (vi * vi).sum())
+                z = w0 + (x * w[ids]).sum() + 0.5 * ((s * s).sum() - (vi * vi).sum())
                 g = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[i]
                 g0 += g * g
                 w0 -= rate * g / np.sqrt(g0)
@@ -76,7 +78,7 @@ class FactorizationMachine:
                     d = g * x + decay * w[ids]
                     gw[ids] += d * d
                     w[ids] -= rate * d / np.sqrt(gw[ids])
-                    d = g * x * x * (s - vi) + decay * vi
+                    d = g * x[:, None] * (s - vi) + decay * v[ids]
                     gv[ids] += d * d
                     v[ids] -= rate * d / np.sqrt(gv[ids])
         self.w0, self.w, self.v = w0, w, v
@@ -98,7 +100,10 @@ class FactorizationMachine:
         order = order[(np.abs(z) * often)[order] >= 1.5]
         common = np.argsort(-(a + b), kind="stable")[: most // 8]
         common = common[often[common]]
-        self.terms = np.unique(every[np.concatenate((order, common))])
+        chosen = np.unique(np.concatenate((order, common)))
+        self.terms = every[chosen]
+        # A term counts by how it tells the classes apart, so that neutral ones don't drown the others.
+        self.value = np.clip(np.abs(z[chosen]) / 6, 0.05, 1.0)
         self._quick()
 
     def _quick(self) -> None:
@@ -114,10 +119,10 @@ class FactorizationMachine:
         return np.unique(at[self.terms[at] == some])
 
     def logit(self, ids: np.ndarray) -> float:
-        x = 1.0 / np.sqrt(len(ids) / 8) if len(ids) > 8 else 1.0
-        vi = self.v[ids]
+        x = self.value[ids]
+        vi = self.v[ids] * x[:, None]
         s = vi.sum(0)
-        return float(self.w0 + x * self.w[ids].sum() + 0.5 * x * x * ((s * s).sum() - (vi * vi).sum()))
+        return float(self.w0 + (x * self.w[ids]).sum() + 0.5 * ((s * s).sum() - (vi * vi).sum()))
 
     def score_texts(self, texts: pa.Array) -> list[float]:
         out = [0.0] * len(texts)
@@ -136,11 +141,29 @@ class FactorizationMachine:
             doc, hit = pair // (len(self.terms) + 1), pair % (len(self.terms) + 1)
             cut = np.searchsorted(doc, np.arange(len(at)))
             for d in range(len(at) - 1):
-                z = self.curve[0] * self.logit(hit[cut[d] : cut[d + 1]]) + self.curve[1]
-                out[i + d] = float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+                z = self.logit(hit[cut[d] : cut[d + 1]])
+                p = 1 / (1 + np.exp(-np.clip(self.curve[0] * z + self.curve[1], -35, 35)))
+                out[i + d] = float(p if self.steps is None else 0.95 * np.interp(z, *self.steps) + 0.05 * p)
         return out
 
 
+def rising_steps(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic regression of y on x: both ends of each step and its share of 1,
+    with half a document of each class added to each step; between steps a line."""
+    order = np.argsort(x, kind="stable")
+    light = float(weight.min())
+    blocks: list[list[float]] = []  # weight of 1, weight, least x, largest x
+    for v, t, w in zip(x[order], y[order], weight[order], strict=True):
+        blocks.append([w * t, w, v, v])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            a, b, _, hi = blocks.pop()
+            blocks[-1][0] += a
+            blocks[-1][1] += b
+            blocks[-1][3] = hi
+    p = np.array([(a + light / 2) / (b + light) for a, b, _, _ in blocks])
+    return np.array([e for _, _, lo, hi in blocks for e in (lo, hi)]), np.repeat(np.maximum.accumulate(p), 2)
+
+
 def fit_calibrated(rows: list[np.ndarray], y: np.ndarray, share: dict[int, int], folds: int = 3, **options) -> FactorizationMachine:
     """A machine whose curve is fitted on scores across ``folds``."""
     logit = np.zeros(len(y))
@@ -155,7 +178,7 @@ def fit_calibrated(rows: list[np.ndarray], y: np.ndarray, share: dict[int, int],
     whole = FactorizationMachine(rows, y, **options)
     taken = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     weight = np.where(y > 0, share[1] / taken[1], share[0] / taken[0]) * len(y) / sum(share.values())
-    whole.curve = logistic_curve(logit, y, weight)
+    whole.curve, whole.steps = logistic_curve(logit, y, weight), rising_steps(logit, y, weight)
     return whole
 
 
