@@ -6,6 +6,8 @@ class path; everything else is built of Spark's own functions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,11 +56,14 @@ def chi2_sf(x: Column | float, df: Column | float) -> Column:
 def ncx2_sf(x: Column, df: Column, shift: Column) -> Column:
     """Non-central chi-squared tail: a Poisson mixture of central ones, over
     twelve standard deviations of the Poisson law beyond its mean."""
-    half = F.greatest(_num(shift), F.lit(0.0)) / 2
-    top = F.ceil(half + 12 * F.sqrt(half) + 30).cast("int")
-    terms = F.transform(F.sequence(F.lit(0), top), lambda j: F.exp(-half + j * F.ln(F.greatest(half, F.lit(1e-300))) - log_gamma(j + F.lit(1.0))) * gamma_q(_num(df) / 2 + j, _num(x) / 2))
-    mixed = F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
-    return F.when(half <= 1e-9, chi2_sf(x, df)).otherwise(F.least(F.lit(1.0), mixed))
+
+    def mixture(v: Column) -> Column:
+        top = F.ceil(v.half + 12 * F.sqrt(v.half) + 30).cast("int")
+        terms = F.transform(F.sequence(F.lit(0), top), lambda j: F.exp(-v.half + j * F.ln(v.half) - log_gamma(j + F.lit(1.0))) * gamma_q(v.df / 2 + j, v.x / 2))
+        mixed = F.least(F.lit(1.0), F.aggregate(terms, F.lit(0.0), lambda s, t: s + t))
+        return F.when(v.half <= 1e-9, chi2_sf(v.x, v.df)).otherwise(mixed)
+
+    return _let(mixture, x=_num(x), df=_num(df), half=F.greatest(_num(shift), F.lit(0.0)) / 2)
 
 
 def t_sf2(t: Column, df: Column) -> Column:
@@ -66,20 +71,40 @@ def t_sf2(t: Column, df: Column) -> Column:
     return F.when(t.isNull() | (df <= 0), F.lit(None)).otherwise(_call(_BETA, "regularizedBeta", _num(df) / (_num(df) + t * t), _num(df) / 2, 0.5))
 
 
+def _let(body: Callable[[Column], Column], **values: Column) -> Column:
+    """``body`` of a struct of ``values``, each computed once: expressions that
+    use a value many times would else hold as many copies of it."""
+    bound = F.array(F.struct(*(v.cast("double").alias(k) for k, v in values.items())))
+    return F.transform(bound, body)[0]
+
+
 def liu_sf(q: Column, c1: Column, c2: Column, c3: Column, c4: Column, kurtosis: bool = False) -> Column:
     """Tail of a weighted sum of chi-squares with cumulants c_p = sum of the
     p-th powers of the weights, by the four-moment fit of Liu, Tang and Zhang.
 
     No variance: a step at the mean.
     """
-    s1, s2 = c3 / F.pow(c2, F.lit(1.5)), c4 / (c2 * c2)
-    skewed = s1 * s1 > s2
-    root = s1 - F.sqrt(F.greatest(s1 * s1 - s2, F.lit(0.0)))
-    a = F.when(skewed, 1 / root).otherwise(1 / F.sqrt(s2) if kurtosis else 1 / s1)
-    shift = F.when(skewed, F.greatest(s1 * F.pow(a, F.lit(3)) - a * a, F.lit(0.0))).otherwise(F.lit(0.0))
-    df = F.when(skewed, a * a - 2 * shift).otherwise(a * a)
-    x = (q - c1) / F.sqrt(2 * c2) * F.sqrt(2 * (df + 2 * shift)) + df + shift
-    return F.when(c2 <= TINY, F.when(q > c1 + TINY, F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ncx2_sf(x, df, shift))))
+
+    def moments(v: Column) -> Column:
+        return _let(shape, q=v.q, c1=v.c1, c2=v.c2, s1=v.c3 / F.pow(v.c2, F.lit(1.5)), s2=v.c4 / (v.c2 * v.c2))
+
+    def shape(v: Column) -> Column:
+        root = v.s1 - F.sqrt(F.greatest(v.s1 * v.s1 - v.s2, F.lit(0.0)))
+        a = F.when(v.s1 * v.s1 > v.s2, 1 / root).otherwise(1 / F.sqrt(v.s2) if kurtosis else 1 / v.s1)
+        return _let(fit, z=(v.q - v.c1) / F.sqrt(2 * v.c2), s1=v.s1, s2=v.s2, a=a)
+
+    def fit(v: Column) -> Column:
+        shift = F.when(v.s1 * v.s1 > v.s2, F.greatest(v.s1 * F.pow(v.a, F.lit(3)) - v.a * v.a, F.lit(0.0))).otherwise(F.lit(0.0))
+        return _let(place, z=v.z, a=v.a, shift=shift)
+
+    def place(v: Column) -> Column:
+        return _let(lambda w: ncx2_sf(w.z * F.sqrt(2 * (w.df + 2 * w.shift)) + w.df + w.shift, w.df, w.shift), z=v.z, shift=v.shift, df=v.a * v.a - 2 * v.shift)
+
+    def whole(v: Column) -> Column:
+        flat = F.when(v.q > v.c1 + TINY, F.lit(0.0)).otherwise(F.lit(1.0))
+        return F.when(v.c2 <= TINY, flat).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), moments(v))))
+
+    return _let(whole, q=_num(q), c1=_num(c1), c2=_num(c2), c3=_num(c3), c4=_num(c4))
 
 
 def welch_sf(q: Column, c1: Column, c2: Column) -> Column:
