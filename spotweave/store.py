@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
         return conf.rstrip("/")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="spotweave-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
     return _OWN[0]
 
 
