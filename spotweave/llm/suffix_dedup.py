@@ -9,14 +9,16 @@ and matches are extended right from the position and left before it. Where left
 and right reach ``span`` words together, the passage is repeated.
 
 A suffix's sorted neighbour has the longest right match, yet another may have a
-longer left one, so a second order sorts by what stands to the left. Sort keys end
+longer left one, so a second order sorts by what stands to the left, and NEAR
+neighbours on each side are compared in both. Sort keys end
 with document and position: many equal suffixes are cut over partitions like any
 others. Each partition hands on its outermost rows, and these few are compared
 in turn, so no neighbours are missed at partition bounds.
 
 Words are lower-cased runs of non-space. A passage must occur in two different
-documents; repeats inside one document alone don't count. A text of one word
-over and over is seen only at the start of such a run. Null and short texts have
+documents; repeats inside one document alone don't count. In a run of one word
+over and over only the first suffix is kept; where it matches ``span`` words, the
+whole run is repeated, as all its windows are equal. Null and short texts have
 no spans. Rows that repeat both id and text are one document and get the same
 row each. Further columns are ignored.
 """
@@ -34,14 +36,30 @@ from spotweave.llm import vectext as vt
 from spotweave.llm.decontaminate import winnow
 from spotweave.llm.store import write_table
 
+#: Rows on each side with which a sorted row is compared, besides the nearest of another document.
+NEAR = 16
 
-def minimisers(g: np.ndarray, window: int) -> np.ndarray:
-    """Positions of least k-gram hashes; of a run of equal ones only the first counts."""
+
+def run_lengths(h: np.ndarray) -> np.ndarray:
+    """For each item, how often it stands from there on in a row."""
+    stop = np.flatnonzero(np.append(h[1:] != h[:-1], True)) + 1
+    at = np.arange(len(h))
+    return stop[np.searchsorted(stop, at, side="right")] - at
+
+
+def minimisers(h: np.ndarray, g: np.ndarray, kgram: int, window: int) -> np.ndarray:
+    """Positions of least k-gram hashes ``g`` of a document's words ``h``.
+
+    K-grams of one word only never compete, so that what a window keeps depends
+    on its words alone; of a run of one word that fills a window, the first counts.
+    """
     if len(g) < window:
         return np.zeros(0, dtype=np.int64)
-    g = g >> np.uint64(1)
-    g[1:][g[1:] == g[:-1]] = np.uint64((1 << 64) - 1)
-    return np.flatnonzero(winnow(g, window) & (g != np.uint64((1 << 64) - 1)))
+    run = run_lengths(h)
+    same = run[: len(g)] >= kgram
+    g = np.where(same, np.uint64((1 << 64) - 1), g >> np.uint64(1))
+    head = np.append(True, h[1:] != h[:-1]) & (run >= kgram + window - 1)
+    return np.flatnonzero((winnow(g, window) & ~same) | head[: len(g)])
 
 
 def _document_key(id_col: str, text_col: str):
@@ -61,7 +79,7 @@ def _positions(docs: DataFrame, id_col: str, text_col: str, kgram: int, window:
                 g = words.ngrams(kgram)
                 for f, e in zip(words.first[:-1], words.first[1:], strict=True):
                     own = g[f : max(f, e - kgram + 1)].copy()
-                    p = minimisers(own, window)
+                    p = minimisers(words.hash[f:e], own, kgram, window)
                     hs.append(vt.as_long(own[p]))
                     ps.append(p.astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(hs, pa.list_(pa.int64())), pa.array(ps, pa.list_(pa.int32()))], names=["id", "dk", "n_words", "h", "p"])
@@ -70,9 +88,10 @@ def _positions(docs: DataFrame, id_col: str, text_col: str, kgram: int, window:
 
 
 def _suffixes(texts: DataFrame, kgram: int, window: int) -> DataFrame:
-    """(h, right, left, dk, pos, id): for each place, hashes of the ``window`` - 1
+    """(h, right, left, dk, pos, id, run): for each place, hashes of the ``window`` - 1
     words after the k-gram, and of those before it, the nearest first. Contexts
-    have one length, filled up with zeros; no word hashes to zero."""
+    have one length, filled up with zeros; no word hashes to zero. ``run``: how
+    often the word at the place stands there in a row."""
     reach = window - 1
     kind = texts.schema["id"].dataType.simpleString()
 
@@ -91,6 +110,7 @@ def _suffixes(texts: DataFrame, kgram: int, window: int) -> DataFrame:
                 short = np.zeros(len(words.hash) + 2 * (reach + kgram), dtype=np.uint32)
                 short[reach + kgram : reach + kgram + len(words.hash)] = np.maximum(words.hash >> np.uint64(32), 1)
                 here = first + pos
+                run_of = np.minimum(run_lengths(words.hash)[here], end - here) if len(here) else here
                 step = np.arange(reach)
                 to = here[:, None] + kgram + step
                 right = np.where(to < end[:, None], short[to + reach + kgram], 0).astype(">u4")
@@ -98,11 +118,11 @@ def _suffixes(texts: DataFrame, kgram: int, window: int) -> DataFrame:
                 left = np.where(to >= first[:, None], short[to + reach + kgram], 0).astype(">u4")
                 rows = pa.array(doc + i)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(vt.as_long(g[here])), _packed(right), _packed(left), batch.column(1).take(rows), pa.array(pos.astype(np.int32)), batch.column(0).take(rows)],
-                    names=["h", "right", "left", "dk", "pos", "id"],
+                    [pa.array(vt.as_long(g[here])), _packed(right), _packed(left), batch.column(1).take(rows), pa.array(pos.astype(np.int32)), batch.column(0).take(rows), pa.array(run_of.astype(np.int32))],
+                    names=["h", "right", "left", "dk", "pos", "id", "run"],
                 )
 
-    return texts.select("id", "dk", "places", "text").mapInArrow(run, f"h long, right binary, left binary, dk long, pos int, id {kind}")
+    return texts.select("id", "dk", "places", "text").mapInArrow(run, f"h long, right binary, left binary, dk long, pos int, id {kind}, run int")
 
 
 def _packed(x: np.ndarray) -> pa.Array:
@@ -123,16 +143,20 @@ def _neighbours(rows: DataFrame, kgram: int, window: int, hand_on: bool) -> Data
     ``hand_on`` also the outermost rows of each partition (with h not null)."""
     reach, span = window - 1, kgram + window - 1
     kind = rows.schema["id"].dataType.simpleString()
-    names = ["dk", "first", "last", "other", "h", "right", "left", "pos", "id"]
+    names = ["dk", "first", "last", "other", "h", "right", "left", "pos", "id", "run"]
 
     def matches(t: pa.Table) -> pa.RecordBatch | None:
-        h, dk, pos = (t[c].to_numpy() for c in ("h", "dk", "pos"))
+        h, dk, pos, row = (t[c].to_numpy() for c in ("h", "dk", "pos", "run"))
         new = np.concatenate(([True], dk[1:] != dk[:-1]))
         head, run_of = np.flatnonzero(new), np.cumsum(new) - 1
         before, after = head[run_of] - 1, np.concatenate((head[1:], [len(dk)]))[run_of]
         me = np.arange(len(dk))
-        i, j = np.concatenate((me[before >= 0], me[after < len(dk)])), np.concatenate((before[before >= 0], after[after < len(dk)]))
-        same = h[i] == h[j]
+        i, j = [me[before >= 0], me[after < len(dk)]], [before[before >= 0], after[after < len(dk)]]
+        for step in range(1, min(NEAR, len(dk) - 1) + 1):
+            i += [me[step:], me[:-step]]
+            j += [me[:-step], me[step:]]
+        i, j = np.concatenate(i), np.concatenate(j)
+        same = (h[i] == h[j]) & (dk[i] != dk[j])
         i, j = i[same], j[same]
         if not len(i):
             return None
@@ -141,14 +165,15 @@ def _neighbours(rows: DataFrame, kgram: int, window: int, hand_on: bool) -> Data
         good = x + y + kgram >= span
         i, j, x, y = i[good], j[good], x[good], y[good]
         ids = t["id"].combine_chunks().take(pa.array(j))
-        none = [pa.nulls(len(i), c) for c in (pa.int64(), pa.binary(), pa.binary(), pa.int32(), ids.type)]
-        return pa.RecordBatch.from_arrays([pa.array(dk[i]), pa.array((pos[i] - y).astype(np.int32)), pa.array((pos[i] + kgram + x).astype(np.int32)), ids, *none], names=names)
+        none = [pa.nulls(len(i), c) for c in (pa.int64(), pa.binary(), pa.binary(), pa.int32(), ids.type, pa.int32())]
+        last = pos[i] + np.where((x == reach) & (row[i] >= span), row[i], kgram + x)
+        return pa.RecordBatch.from_arrays([pa.array(dk[i]), pa.array((pos[i] - y).astype(np.int32)), pa.array(last.astype(np.int32)), ids, *none], names=names)
 
     def edges(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
         col = {c: t[c].combine_chunks() for c in t.column_names}
         none = [pa.nulls(len(t), c) for c in (pa.int32(), pa.int32(), col["id"].type)]
-        return pa.RecordBatch.from_arrays([col["dk"], *none, col["h"], col["right"], col["left"], col["pos"], col["id"]], names=names)
+        return pa.RecordBatch.from_arrays([col["dk"], *none, col["h"], col["right"], col["left"], col["pos"], col["id"], col["run"]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: pa.Table | None = None
@@ -168,15 +193,15 @@ def _neighbours(rows: DataFrame, kgram: int, window: int, hand_on: bool) -> Data
                 found = matches(t)
                 if found is not None and len(found):
                     yield found
-                # The last run may go on; the row before it is its neighbour.
+                # The last run may go on; the rows before it are its neighbours.
                 dk = t["dk"].to_numpy()
                 turn = np.flatnonzero(dk[1:] != dk[:-1])
-                carry = t.slice(int(turn[-1]) if len(turn) else 0)
+                carry = t.slice(min(int(turn[-1]) if len(turn) else 0, max(0, len(t) - NEAR)))
         if hand_on and carry is not None:
             yield edges(begin)
             yield edges(carry)
 
-    return rows.select("h", "right", "left", "dk", "pos", "id").mapInArrow(run, f"dk long, first int, last int, other {kind}, h long, right binary, left binary, pos int, id {kind}")
+    return rows.select("h", "right", "left", "dk", "pos", "id", "run").mapInArrow(run, f"dk long, first int, last int, other {kind}, h long, right binary, left binary, pos int, id {kind}, run int")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kgram: int = 20, window: int = 31) -> DataFrame:
@@ -194,7 +219,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = None
     for order in (("h", "right", "left", "dk", "pos"), ("h", "left", "right", "dk", "pos")):
         near = write_table(_neighbours(rows.repartitionByRange(*order).sortWithinPartitions(*order), kgram, window, True), "suffix-neighbours")
-        edge = near.where("h is not null").select("h", "right", "left", "dk", "pos", "id")
+        edge = near.where("h is not null").select("h", "right", "left", "dk", "pos", "id", "run")
         bound = _neighbours(edge.repartition(1).sortWithinPartitions(*order), kgram, window, False)
         one = near.where("h is null").select("dk", "first", "last", "other").union(bound.select("dk", "first", "last", "other"))
         found = one if found is None else found.union(one)

@@ -186,6 +186,9 @@ def test_repeated_passages_equal_brute_force(spark):
             w[s:s] = p[cut:]
         rows.append((i, " ".join(w)))
     rows += [(100, rows[10][1]), (101, rows[10][1]), rows[11]]
+    for i, n in enumerate((49, 50, 51, 80, 300)):  # runs of one word, with something before and after
+        rows.append((200 + i, " ".join([f"b{i}"] * i + ["run"] * n + [f"a{i}"] * 3)))
+    rows += [(300, "lone " * 90), (301, "ab cd " * 60), (302, "x ab cd " + "ab cd " * 40)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, h int").repartition(4)
     got = repeated_spans(df)
     assert sorted((r.doc_id, r.n_words, r.spans, r.n_repeated) for r in got.collect()) == repeats(rows, 50)
