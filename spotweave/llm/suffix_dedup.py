@@ -1,24 +1,21 @@
 """Suffix-array dedup with sparse suffix arrays.
 
-Only suffixes at content-selected positions are kept: those whose ``kgram``-word
+Only suffixes at content-selected positions are looked at: those whose ``kgram``-word
 hash is the least of some ``window`` consecutive ones, so that every passage of
 ``span`` = kgram + window - 1 words holds such a position, the same one wherever
 it occurs. Suffixes whose first k-gram occurs in one document only are dropped by a count.
-The rest are range-partitioned and sorted, neighbours of different documents are compared,
-and matches are extended right from the position and left before it. Where left
-and right reach ``span`` words together, the passage is repeated.
 
-A suffix's sorted neighbour has the longest right match, yet another may have a
-longer left one, so a second order sorts by what stands to the left, and NEAR
-neighbours on each side are compared in both. Sort keys end
-with document and position: many equal suffixes are cut over partitions like any
-others. Each partition hands on its outermost rows, and these few are compared
-in turn, so no neighbours are missed at partition bounds.
+What is left of every document are its passages of ``span`` words whose least
+k-gram is one of the others. Each is hashed whole, and the hashes are counted by
+document: a passage is repeated where the least and the greatest document of its
+hash differ. The count is summed up before rows move, so a passage of any number
+of documents is one row a task, and neither the size of a group nor the bounds of
+partitions decide what is found. Equal hashes (64 bits) count as equal passages.
 
 Words are lower-cased runs of non-space. A passage must occur in two different
 documents; repeats inside one document alone don't count. In a run of one word
-over and over only the first suffix is kept; where it matches ``span`` words, the
-whole run is repeated, as all its windows are equal. Null and short texts have
+over and over only the first suffix is kept; where its passage is repeated, the
+whole run is, as all its windows are equal. Null and short texts have
 no spans. Rows that repeat both id and text are one document and get the same
 row each. Further columns are ignored.
 """
@@ -36,9 +33,6 @@ from spotweave.llm import vectext as vt
 from spotweave.llm.decontaminate import winnow
 from spotweave.llm.store import write_table
 
-#: Rows on each side with which a sorted row is compared, besides the nearest of another document.
-NEAR = 16
-
 
 def run_lengths(h: np.ndarray) -> np.ndarray:
     """For each item, how often it stands from there on in a row."""
@@ -87,127 +81,73 @@ def _positions(docs: DataFrame, id_col: str, text_col: str, kgram: int, window:
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, dk long, n_words long, h array<long>, p array<int>")
 
 
-def _suffixes(texts: DataFrame, kgram: int, window: int) -> DataFrame:
-    """(h, right, left, dk, pos, id, run): for each place, hashes of the ``window`` - 1
-    words after the k-gram, and of those before it, the nearest first. Contexts
-    have one length, filled up with zeros; no word hashes to zero. ``run``: how
-    often the word at the place stands there in a row."""
-    reach = window - 1
-    kind = texts.schema["id"].dataType.simpleString()
+def _least(g: np.ndarray, window: int) -> np.ndarray:
+    """The least of each ``window`` consecutive items."""
+    wide = 1
+    while 2 * wide <= window:
+        g, wide = np.minimum(g[:-wide], g[wide:]), 2 * wide
+    return np.minimum(g[: len(g) - (window - wide)], g[window - wide :])
+
+
+def _passages(texts: DataFrame, kgram: int, window: int) -> DataFrame:
+    """(h, dk, first, last): hashes and word bounds of the passages of kgram +
+    window - 1 words whose least k-gram stands at one of ``places``; for a run of
+    one word the hash of its first passage and the bounds of the run."""
+    span = kgram + window - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(1)
             places, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for i, j, data, at in vt.text_chunks(batch.column(3)):
+            for i, j, data, at in vt.text_chunks(batch.column(2)):
                 words = vt.Words(data, at, vt.NOT_SPACE)
+                whole = words.ngrams(span)
+                if not len(whole):
+                    continue
+                here = np.repeat(words.first[:-1], np.diff(bounds[i : j + 1])) + places[bounds[i] : bounds[j]]
+                length = run_lengths(words.hash)
                 g = words.ngrams(kgram)
-                count = np.diff(bounds[i : j + 1])
-                doc = np.repeat(np.arange(j - i), count)
-                pos = places[bounds[i] : bounds[j]].astype(np.int64)
-                first, end = words.first[doc], words.first[doc + 1]
-                # A margin on both sides keeps all indices inside.
-                short = np.zeros(len(words.hash) + 2 * (reach + kgram), dtype=np.uint32)
-                short[reach + kgram : reach + kgram + len(words.hash)] = np.maximum(words.hash >> np.uint64(32), 1)
-                here = first + pos
-                run_of = np.minimum(run_lengths(words.hash)[here], end - here) if len(here) else here
-                step = np.arange(reach)
-                to = here[:, None] + kgram + step
-                right = np.where(to < end[:, None], short[to + reach + kgram], 0).astype(">u4")
-                to = here[:, None] - 1 - step
-                left = np.where(to >= first[:, None], short[to + reach + kgram], 0).astype(">u4")
-                rows = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(vt.as_long(g[here])), _packed(right), _packed(left), batch.column(1).take(rows), pa.array(pos.astype(np.int32)), batch.column(0).take(rows), pa.array(run_of.astype(np.int32))],
-                    names=["h", "right", "left", "dk", "pos", "id", "run"],
-                )
-
-    return texts.select("id", "dk", "places", "text").mapInArrow(run, f"h long, right binary, left binary, dk long, pos int, id {kind}, run int")
-
-
-def _packed(x: np.ndarray) -> pa.Array:
-    """The rows of a table of numbers as equally long binaries."""
-    width = x.itemsize * x.shape[1]
-    offsets = np.arange(len(x) + 1, dtype=np.int32) * width
-    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x))])
-
-
-def _common(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Number of equal leading words of the contexts i and j."""
-    end = (x[i] != x[j]) | (x[i] == 0)
-    return np.where(end.any(1), end.argmax(1), x.shape[1])
-
-
-def _neighbours(rows: DataFrame, kgram: int, window: int, hand_on: bool) -> DataFrame:
-    """Matches of sorted rows with their neighbours of other documents, and with
-    ``hand_on`` also the outermost rows of each partition (with h not null)."""
-    reach, span = window - 1, kgram + window - 1
-    kind = rows.schema["id"].dataType.simpleString()
-    names = ["dk", "first", "last", "other", "h", "right", "left", "pos", "id", "run"]
-
-    def matches(t: pa.Table) -> pa.RecordBatch | None:
-        h, dk, pos, row = (t[c].to_numpy() for c in ("h", "dk", "pos", "run"))
-        new = np.concatenate(([True], dk[1:] != dk[:-1]))
-        head, run_of = np.flatnonzero(new), np.cumsum(new) - 1
-        before, after = head[run_of] - 1, np.concatenate((head[1:], [len(dk)]))[run_of]
-        me = np.arange(len(dk))
-        i, j = [me[before >= 0], me[after < len(dk)]], [before[before >= 0], after[after < len(dk)]]
-        for step in range(1, min(NEAR, len(dk) - 1) + 1):
-            i += [me[step:], me[:-step]]
-            j += [me[:-step], me[step:]]
-        i, j = np.concatenate(i), np.concatenate(j)
-        same = (h[i] == h[j]) & (dk[i] != dk[j])
-        i, j = i[same], j[same]
-        if not len(i):
-            return None
-        right, left = (np.frombuffer(b"".join(t[c].to_pylist()), dtype=np.uint32).reshape(-1, reach) for c in ("right", "left"))
-        x, y = _common(right, i, j), _common(left, i, j)
-        good = x + y + kgram >= span
-        i, j, x, y = i[good], j[good], x[good], y[good]
-        ids = t["id"].combine_chunks().take(pa.array(j))
-        none = [pa.nulls(len(i), c) for c in (pa.int64(), pa.binary(), pa.binary(), pa.int32(), ids.type, pa.int32())]
-        last = pos[i] + np.where((x == reach) & (row[i] >= span), row[i], kgram + x)
-        return pa.RecordBatch.from_arrays([pa.array(dk[i]), pa.array((pos[i] - y).astype(np.int32)), pa.array(last.astype(np.int32)), ids, *none], names=names)
-
-    def edges(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        col = {c: t[c].combine_chunks() for c in t.column_names}
-        none = [pa.nulls(len(t), c) for c in (pa.int32(), pa.int32(), col["id"].type)]
-        return pa.RecordBatch.from_arrays([col["dk"], *none, col["h"], col["right"], col["left"], col["pos"], col["id"], col["run"]], names=names)
+                same = length[: len(g)] >= kgram
+                least = _least(np.where(same, np.uint64((1 << 64) - 1), g >> np.uint64(1)), window)
+                heads = here[same[here]]
+                start = np.flatnonzero(np.isin(least, g[here[~same[here]]] >> np.uint64(1)))
+                end = words.first[np.searchsorted(words.first, start, side="right")]
+                start = start[start + span <= end]
+                start, last = np.concatenate((start, heads)), np.concatenate((start + span, heads + length[heads]))
+                doc = np.searchsorted(words.first, start, side="right") - 1
+                first = words.first[doc]
+                last = np.minimum(last, words.first[doc + 1])
+                yield pa.RecordBatch.from_arrays([pa.array(vt.as_long(whole[start])), batch.column(0).take(pa.array(doc + i)), pa.array((start - first).astype(np.int32)), pa.array((last - first).astype(np.int32))], names=["h", "dk", "first", "last"])
+
+    return texts.select("dk", "places", "text").mapInArrow(run, "h long, dk long, first int, last int")
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """(dk, spans, other) with overlapping and touching bounds of ``all`` merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: pa.Table | None = None
-        begin: pa.Table | None = None
-        begun = False
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                part = pa.Table.from_batches([batch.slice(at, 4096)])
-                if hand_on and not begun:
-                    # The first run of one document, and the first row after it.
-                    begin = part if begin is None else pa.concat_tables([begin, part])
-                    dk = begin["dk"].to_numpy()
-                    other = np.flatnonzero(dk != dk[0])
-                    if len(other):
-                        begin, begun = begin.slice(0, int(other[0]) + 1), True
-                t = part if carry is None else pa.concat_tables([carry, part])
-                found = matches(t)
-                if found is not None and len(found):
-                    yield found
-                # The last run may go on; the rows before it are its neighbours.
-                dk = t["dk"].to_numpy()
-                turn = np.flatnonzero(dk[1:] != dk[:-1])
-                carry = t.slice(min(int(turn[-1]) if len(turn) else 0, max(0, len(t) - NEAR)))
-        if hand_on and carry is not None:
-            yield edges(begin)
-            yield edges(carry)
-
-    return rows.select("h", "right", "left", "dk", "pos", "id", "run").mapInArrow(run, f"dk long, first int, last int, other {kind}, h long, right binary, left binary, pos int, id {kind}, run int")
+            lists = batch.column(1)
+            x, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
+            x = x[bounds[0] : bounds[-1]]
+            doc = np.repeat(np.arange(len(batch)), np.diff(bounds))
+            order = np.lexsort((x, doc))
+            doc, first, last = doc[order], x[order] >> 32, x[order] & 0xFFFFFFFF
+            upto = np.maximum.accumulate((doc << 32) | last)
+            new = np.append(True, ((doc[1:] << 32) | first[1:]) > upto[:-1])[: len(doc)]
+            at = np.flatnonzero(new)
+            stop = np.append(at[1:], len(doc))[: len(at)] - 1
+            flat = np.stack((first[at], upto[stop] & 0xFFFFFFFF), axis=1).ravel().astype(np.int32)
+            offsets = 2 * np.searchsorted(doc[at], np.arange(len(batch) + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)), batch.column(2)], names=["k", "spans", "next"])
+
+    return found.select("dk", "all", "next").mapInArrow(run, "k long, spans array<int>, next long")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kgram: int = 20, window: int = 31) -> DataFrame:
     """(id, n_words, spans, n_repeated, other) for every row: word bounds
     [start, end, ...] of passages of kgram + window - 1 words or more that another
-    document has too, the number of their words, and the least id found beside."""
+    document has too, the number of their words, and the id of one such document."""
     base = write_table(_positions(docs, id_col, text_col, kgram, window), "suffix-positions")
     each = base.select("dk", F.explode(F.arrays_zip("h", "p")).alias("s")).select("dk", F.col("s.h").alias("h"), F.col("s.p").alias("p"))
     often = each.groupBy("h").agg(F.min("dk").alias("lo"), F.max("dk").alias("hi")).where("lo <> hi").select("h")
@@ -215,25 +155,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     often = write_table(often, "suffix-often")
     places = write_table(each.join(often, "h").groupBy("dk").agg(F.collect_list("p").alias("places")).withColumnRenamed("dk", "k"), "suffix-places")
     texts = docs.select(F.col(id_col).alias("id"), _document_key(id_col, text_col).alias("dk"), F.col(text_col).cast("string").alias("text"))
-    rows = _suffixes(texts.join(places, F.col("dk") == F.col("k")), kgram, window)
-    found = None
-    for order in (("h", "right", "left", "dk", "pos"), ("h", "left", "right", "dk", "pos")):
-        near = write_table(_neighbours(rows.repartitionByRange(*order).sortWithinPartitions(*order), kgram, window, True), "suffix-neighbours")
-        edge = near.where("h is not null").select("h", "right", "left", "dk", "pos", "id", "run")
-        bound = _neighbours(edge.repartition(1).sortWithinPartitions(*order), kgram, window, False)
-        one = near.where("h is null").select("dk", "first", "last", "other").union(bound.select("dk", "first", "last", "other"))
-        found = one if found is None else found.union(one)
-    spans = found.groupBy("dk").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("all"), F.min("other").alias("other"))
-    # Sorted spans merge in one pass: a span that starts inside the last one lengthens it.
-    merge = F.expr("""aggregate(all, cast(array() AS array<struct<first:int,last:int>>), (a, s) ->
-        IF(size(a) > 0 AND s.first <= element_at(a, -1).last,
-           concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'last', greatest(element_at(a, -1).last, s.last)))),
-           concat(a, array(s))))""")
-    spans = spans.select(F.col("dk").alias("k"), "other", merge.alias("spans"))
+    each = write_table(_passages(texts.join(places, F.col("dk") == F.col("k")), kgram, window), "suffix-passages")
+    often = write_table(each.groupBy("h").agg(F.min("dk").alias("lo"), F.max("dk").alias("hi")).where("lo <> hi"), "suffix-repeated")
+    bounds = F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.col("last").cast("long"))
+    found = each.join(often, "h").groupBy("dk").agg(F.collect_set(bounds).alias("all"), F.min(F.when(F.col("dk") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))).alias("next"))
+    ids = base.groupBy("dk").agg(F.min("id").alias("other")).withColumnRenamed("dk", "next")
+    spans = _merged(found).join(ids, "next", "left")
     out = base.select("id", "dk", "n_words").join(spans, F.col("dk") == F.col("k"), "left")
-    flat = F.coalesce(F.flatten(F.transform("spans", lambda s: F.array(s["first"], s["last"]))), F.array().cast("array<int>"))
-    total = F.coalesce(F.aggregate(F.transform("spans", lambda s: (s["last"] - s["first"]).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
+    flat = F.coalesce("spans", F.array().cast("array<int>"))
+    total = F.aggregate(F.transform(flat, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return out.select(F.col("id").alias(id_col), "n_words", flat.alias("spans"), total.alias("n_repeated"), "other")
-
-
-

@@ -193,3 +193,29 @@ def test_repeated_passages_equal_brute_force(spark):
     got = repeated_spans(df)
     assert sorted((r.doc_id, r.n_words, r.spans, r.n_repeated) for r in got.collect()) == repeats(rows, 50)
     assert repeated_spans(df.limit(0)).count() == 0
+
+
+def hot_passage(n=160, pairs=6):
+    """A 40-word line in all documents; one half shares the words after it, the
+    other those before it, and pairs that share both stand amid the two."""
+    rng = random.Random(4)
+    line = [f"l{i}" for i in range(40)]
+    own = lambda k: [f"o{rng.randrange(10**9)}" for _ in range(k)]
+    rows = []
+    for p in range(pairs):
+        before, after = [f"b{p}_{i}" for i in range(5)], [f"a{p}_{i}" for i in range(5)]
+        for i in range(n):
+            rows.append(own(20) + (before + line + own(5) if i % 2 else own(5) + line + after) + own(20))
+        rows += [own(20) + before + line + after + own(20) for _ in range(2)]
+    rng.shuffle(rows)
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def test_partners_far_off_in_a_large_group_are_found(spark):
+    rows = hot_passage()
+    want = repeats(rows, 50)
+    assert sum(n > 0 for *_, n in want) == 12
+    got = repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted((r.doc_id, r.n_words, r.spans, r.n_repeated) for r in got.collect()) == want
+    with_other = {r.doc_id: r.other for r in got.where("n_repeated > 0").collect()}
+    assert all(with_other[o] == d for d, o in with_other.items())
