@@ -195,14 +195,14 @@ def test_repeated_passages_equal_brute_force(spark):
     assert repeated_spans(df.limit(0)).count() == 0
 
 
-def hot_passage(n=160, pairs=6):
+def hot_passage(n=160, pairs=6, lines=1):
     """A 40-word line in all documents; one half shares the words after it, the
     other those before it, and pairs that share both stand amid the two."""
     rng = random.Random(4)
-    line = [f"l{i}" for i in range(40)]
     own = lambda k: [f"o{rng.randrange(10**9)}" for _ in range(k)]
     rows = []
     for p in range(pairs):
+        line = [f"l{p % lines}_{i}" for i in range(40)]
         before, after = [f"b{p}_{i}" for i in range(5)], [f"a{p}_{i}" for i in range(5)]
         for i in range(n):
             rows.append(own(20) + (before + line + own(5) if i % 2 else own(5) + line + after) + own(20))
@@ -219,3 +219,20 @@ def test_partners_far_off_in_a_large_group_are_found(spark):
     assert sorted((r.doc_id, r.n_words, r.spans, r.n_repeated) for r in got.collect()) == want
     with_other = {r.doc_id: r.other for r in got.where("n_repeated > 0").collect()}
     assert all(with_other[o] == d for d, o in with_other.items())
+
+
+@pytest.mark.parametrize("partitions", [1, 150])
+def test_groups_cut_over_partitions_stay_whole(spark, partitions):
+    rows = hot_passage(n=13, pairs=200, lines=200)
+    want = repeats(rows, 50)
+    assert sum(n > 0 for *_, n in want) == 400
+    conf = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+        assert sorted((r.doc_id, r.n_words, r.spans, r.n_repeated) for r in got.collect()) == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
