@@ -3,8 +3,9 @@
 Strong ("base") parts are found by pattern alone. Weak parts (login names,
 long random-looking strings, service endpoints) are far too common to report
 by themselves; they are reported only when complementary parts co-occur: an
-interval join pairs identifiers, secrets and endpoints whose neighbourhoods
-overlap inside one scope (a block of lines without a blank line between).
+interval join pairs all identifiers, secrets and endpoints whose neighbourhoods
+overlap inside one scope (a block of lines without a blank line between). The
+neighbourhood is the whole scope unless ``reach`` bounds it.
 
 All offsets are code points, ends exclusive. A null or empty text has no spans.
 Rows are independent of each other: repeated rows repeat their results, and
@@ -20,6 +21,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,11 +60,13 @@ def _order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (s[1], _RANK[s[0]], s[2]))
 
 
-def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int, min_entropy: float) -> tuple[list[tuple[str, int, int]], list[tuple]]:
+def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int | None, min_entropy: float) -> tuple[list[tuple[str, int, int]], list[tuple]]:
     """Weak parts that complement others, and the links between parts.
 
-    A part's interval is its span widened by ``reach`` on both sides and cut to
-    its scope; two parts join when the widened interval of one meets the other.
+    A part's interval is its scope, or its span widened by ``reach`` on both sides
+    and cut to its scope; two parts join when the interval of one meets the other.
+    Identifiers don't overlap each other, nor do endpoints, so those that join a
+    secret stand in a row; secrets with the same ones share a link.
     """
     ids = [s for s in base if s[0] == "access"]
     keys = [s for s in base if s[0] != "access"]
@@ -84,32 +88,30 @@ def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int, min_en
         if free(*m.span()) and re.search("[0-9]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0]) and entropy(m[0]) >= min_entropy
     ]
     cuts = [0, *(m.end() for m in BLANK.finditer(text)), len(text) + 1]
-    scope = lambda p: bisect_right(cuts, p)
     ids, keys = _order(ids + weak_ids), _order(keys + weak_keys)
     ends = _order(ends)
-
-    def nearest(to: tuple[str, int, int], among: list[tuple[str, int, int]]) -> tuple[str, int, int] | None:
-        """The closest part of the same scope within reach (ties: the left)."""
-        at, best = [x[1] for x in among], None
-        i = bisect_left(at, to[1])
-        for x in among[max(0, i - 1) : i + 1]:
-            gap = max(x[1] - to[2], to[1] - x[2], 0)
-            if gap <= reach and scope(x[1]) == scope(to[1]) and (best is None or gap < best[0]):
-                best = (gap, x)
-        return best and best[1]
-
-    links, more = [], set()
+    strong = [0, *accumulate(x[0] == "access" for x in ids)]
+
+    def joined(to: tuple[str, int, int], starts: list[int], stops: list[int]) -> tuple[int, int]:
+        """Bounds of the parts of the same scope whose interval meets that of ``to``."""
+        k = bisect_right(cuts, to[1])
+        i, j = bisect_left(starts, cuts[k - 1]), bisect_left(starts, cuts[k])
+        if reach is not None:
+            i, j = max(i, bisect_left(stops, to[1] - reach)), min(j, bisect_right(starts, to[2] + reach))
+        return i, max(i, j)
+
+    at = [([x[1] for x in among], [x[2] for x in among]) for among in (ids, ends)]
+    groups: dict[tuple[int, int, int, int], list[tuple[str, int, int]]] = {}
     for key in keys:
-        who, where = nearest(key, ids), nearest(key, ends)
+        (i, j), (m, n) = (joined(key, *x) for x in at)
         # A weak secret needs a strong identifier, or an identifier and an endpoint.
-        strong = key[0] != "weak_secret" or (who is not None and (who[0] == "access" or where is not None))
-        if strong and (who or where):
-            links.append((who, key, where))
-            more.update(x for x in (who, key, where) if x is not None)
-    return [x for x in more if x not in set(base)], links
+        if (i < j or m < n) if key[0] != "weak_secret" else (strong[i] < strong[j] or (i < j and m < n)):
+            groups.setdefault((i, j, m, n), []).append(key)
+    links = [(*ids[i:j], *held, *ends[m:n]) for (i, j, m, n), held in groups.items()]
+    return list({x for link in links for x in link} - set(base)), links
 
 
-def scan(text: str | None, reach: int = 200, min_entropy: float = 3.5) -> dict:
+def scan(text: str | None, reach: int | None = None, min_entropy: float = 3.5) -> dict:
     """All spans of one text; see :func:`scan_secrets` for the fields."""
     text = text or ""
     base = _order(base_spans(text))
@@ -122,16 +124,17 @@ def scan(text: str | None, reach: int = 200, min_entropy: float = 3.5) -> dict:
         "n_hex": kinds["hex"],
         "base": show(base),
         "spans": show(_order(base + extra)),
-        "links": ";".join("+".join(f"{k}:{s}:{e}" for k, s, e in (x for x in link if x)) for link in links),
+        "links": ";".join("+".join(f"{k}:{s}:{e}" for k, s, e in link) for link in links),
     }
 
 
 _FIELDS = [("n_assign", "long", pa.int64()), ("n_access", "long", pa.int64()), ("n_hex", "long", pa.int64()), ("base", "string", pa.string()), ("spans", "string", pa.string()), ("links", "string", pa.string())]
 
 
-def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, reach: int = 200, min_entropy: float = 3.5) -> DataFrame:
+def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, reach: int | None = None, min_entropy: float = 3.5) -> DataFrame:
     """Spans of every whole text: counts by kind, ``base`` and ``spans`` as
-    ``kind:start:end`` lists by start, and ``links`` between parts.
+    ``kind:start:end`` lists by start, and ``links`` between parts: identifiers,
+    secrets and endpoints that join, one list for secrets that join the same ones.
 
     ``keep``: columns to pass through (all but the text by default).
     """
