@@ -135,9 +135,9 @@ def raster_of(coords: np.ndarray, tol: float = 1e-4) -> tuple[tuple[int, int], t
     return (len(axes[0]), len(axes[1])), (steps[0], steps[1])
 
 
-def fourier_modes(lo: np.ndarray, hi: np.ndarray, length: float, most: int = 400, tail: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+def fourier_modes(lo: np.ndarray, hi: np.ndarray, length: float, most: int | None = None, tail: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """(frequencies, weights) of the RBF kernel on a box padded by five length
-    scales: those of weight over ``tail`` of the largest, at most ``most``."""
+    scales: all of weight over ``tail`` of the largest, or the ``most`` heaviest."""
     side = (hi - lo) + 10 * length
     reach = [int(np.ceil(s / (2 * np.pi * length) * np.sqrt(2 * np.log(1 / tail)))) for s in side]
     k = np.stack([g.ravel() for g in np.meshgrid(*(np.arange(-r, r + 1) for r in reach), indexing="ij")], axis=1)
@@ -157,32 +157,56 @@ def fourier_features(coords: np.ndarray, w: np.ndarray, s: np.ndarray) -> np.nda
     return np.concatenate((np.cos(phase) * root, (np.sin(phase) * root)[:, w.any(1)]), axis=1)
 
 
-def fourier_residuals(values: DataFrame, dims: int, length: float = 1.0, most: int = 400) -> DataFrame:
+def fourier_residuals(values: DataFrame, dims: int, length: float = 1.0, most: int | None = None) -> DataFrame:
     """(series, spot_id, res) for rows (series, spot_id, coords, y): Gaussian
     process residuals of each series by Fourier features.
 
-    Workers add up features' Gram matrices and their products with the values;
-    a few hundred squared numbers a series come together, and a second pass
-    makes the residuals.
+    Workers add up features' Gram matrices and their products with the values,
+    one series at a time; sums are brought together by blocks of rows, so that a
+    task holds one matrix of a series, and a second pass makes the residuals.
     """
     spark = values.sparkSession
-    box = values.agg(*[f(F.col("coords")[d]).alias(f"{f.__name__}{d}") for d in range(dims) for f in (F.min, F.max)]).first()
+    box = values.agg(*[f(F.col("coords")[d]).alias(f"{f.__name__}{d}") for d in range(dims) for f in (F.min, F.max)], F.count(F.lit(1)).alias("rows"), F.count_distinct("series").alias("series")).first()
     lo, hi = (np.array([box[f"{f}{d}"] for d in range(dims)]) for f in ("min", "max"))
     w, s = fourier_modes(lo, hi, length, most)
 
+    size = len(s) + int(w.any(1).sum())
+    rows_at_once, height = max(1, (1 << 21) // size), max(1, (1 << 16) // size)
+
+    def features(part: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray]]:
+        x = np.stack(part["coords"].to_numpy())
+        for lo in range(0, len(x), rows_at_once):
+            at = slice(lo, lo + rows_at_once)
+            yield at, fourier_features(x[at], w, s)
+
     def sums(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, list] = {}
+        name, g, b, yy, n = None, None, None, 0.0, 0
+
+        def blocks() -> Iterator[pd.DataFrame]:
+            for k, lo in enumerate(range(0, size, height)):
+                yield pd.DataFrame({"series": [name], "k": [k], "g": [g[lo : lo + height].ravel()], "b": [b[lo : lo + height]], "yy": [yy if k == 0 else 0.0], "n": [n if k == 0 else 0]})
+
         for pdf in pdfs:
-            for name, part in pdf.groupby("series"):
-                phi, y = fourier_features(np.stack(part["coords"].to_numpy()), w, s), part["y"].to_numpy()
-                new = [phi.T @ phi, phi.T @ y, float(y @ y), len(y)]
-                total[name] = new if name not in total else [a + b for a, b in zip(total[name], new, strict=True)]
-        for name, (g, b, yy, n) in total.items():
-            yield pd.DataFrame({"series": [name], "g": [g.ravel()], "b": [b], "yy": [yy], "n": [n]})
+            for new, part in pdf.groupby("series"):
+                if new != name:
+                    if name is not None:
+                        yield from blocks()
+                    name, g, b, yy, n = new, np.zeros((size, size)), np.zeros(size), 0.0, 0
+                y = part["y"].to_numpy()
+                for at, phi in features(part):
+                    g += phi.T @ phi
+                    b += phi.T @ y[at]
+                yy, n = yy + float(y @ y), n + len(y)
+        if name is not None:
+            yield from blocks()
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"series": [pdf["series"].iloc[0]], "k": [pdf["k"].iloc[0]], "g": [sum(pdf["g"])], "b": [sum(pdf["b"])], "yy": [pdf["yy"].sum()], "n": [pdf["n"].sum()]})
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = np.sum(list(pdf["b"]), axis=0)
-        g = np.sum(list(pdf["g"]), axis=0).reshape(len(b), len(b))
+        pdf = pdf.sort_values("k")
+        b = np.concatenate(list(pdf["b"]))
+        g = np.concatenate(list(pdf["g"])).reshape(size, size)
         lam, q = np.linalg.eigh(g)
         lam = np.maximum(lam, 0)
         good = lam > lam.max() * 1e-12
@@ -194,15 +218,18 @@ def fourier_residuals(values: DataFrame, dims: int, length: float = 1.0, most: i
         return pd.DataFrame({"series": [pdf["series"].iloc[0]], "weight": [weight], "s2": [s2], "eps": [eps]})
 
     rows = values.select("series", "spot_id", "coords", "y")
-    parts = rows.mapInPandas(sums, "series string, g array<double>, b array<double>, yy double, n long")
+    kind = "series string, k int, g array<double>, b array<double>, yy double, n long"
+    # A matrix moves for every few times as many rows as it has.
+    deal = F.pmod(F.xxhash64("spot_id"), F.lit(max(1, box["rows"] // max(1, box["series"] * 4 * size))))
+    parts = rows.repartition("series", deal).sortWithinPartitions("series").mapInPandas(sums, kind).groupBy("series", "k").applyInPandas(added, kind)
     fits = parts.groupBy("series").applyInPandas(solve, "series string, weight array<double>, s2 double, eps double")
     known = spark.sparkContext.broadcast({r["series"]: np.array(r["weight"]) for r in fits.collect()})  # a vector a series
 
     def residuals(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             for name, part in pdf.groupby("series"):
-                phi = fourier_features(np.stack(part["coords"].to_numpy()), w, s)
-                yield pd.DataFrame({"series": name, "spot_id": part["spot_id"], "res": part["y"].to_numpy() - phi @ known.value[name]})
+                fit = np.concatenate([phi @ known.value[name] for _, phi in features(part)])
+                yield pd.DataFrame({"series": name, "spot_id": part["spot_id"], "res": part["y"].to_numpy() - fit})
 
     return rows.mapInPandas(residuals, "series string, spot_id long, res double")
 
@@ -221,7 +248,8 @@ def residual_columns(values: DataFrame, spots: DataFrame, n: int, method: str =
     zero, over ``spots`` (spot_id, coords).
 
     Up to SUBSET places each series is one task with the shared decomposition of
-    the kernel; beyond, or by name, Fourier features.
+    the kernel; beyond, or by name, Fourier features. A raster by name is one
+    transform a series for any number of places.
     """
     method = backend(method)
     if method == "fourier" or (method == "auto" and n > SUBSET):
@@ -229,8 +257,8 @@ def residual_columns(values: DataFrame, spots: DataFrame, n: int, method: str =
         full = spots.select("spot_id", "coords").crossJoin(series).join(values, ["spot_id", "series"], "left")
         dims = spots.select(F.size("coords")).first()[0]
         return fourier_residuals(full.select("series", "spot_id", "coords", F.coalesce("y", F.lit(0.0)).alias("y")), dims, length)
-    t = spots.select("spot_id", "coords").orderBy("spot_id").toArrow()  # small by the test above
-    ids, coords = t["spot_id"].to_numpy(), np.array(t["coords"].to_pylist(), dtype=float)
+    t = spots.select("spot_id", "coords").orderBy("spot_id").toArrow()  # small by the test above, or three numbers a raster cell
+    ids, coords = t["spot_id"].to_numpy(), t["coords"].combine_chunks().flatten().to_numpy().astype(float).reshape(len(t), -1)
     found = raster_of(coords) if method in ("auto", "raster") else None
     if method == "raster" and found is None:
         raise ValueError("the places don't fill a raster")

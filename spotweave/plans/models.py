@@ -159,7 +159,7 @@ class RasterModel(_Model):
             self.du = usage.differential_usage(self.data, d, self.n, "ir", ratio_transformation)
         elif method == "hsic-gp":
             cells = self.data.spots.select("spot_id", F.array(F.col("row") * self.spacing[0], F.col("col") * self.spacing[1]).alias("coords"))
-            self.du = self._residual_usage(cells, "raster" if self.n <= gp.SUBSET else "fourier", residualize == "both", length_scale)
+            self.du = self._residual_usage(cells, "raster", residualize == "both", length_scale)
         else:
             dz.check_binary(d, self.n)
             self.du = usage.t_test_usage(self.data, d, self.n, method, raster=True)

@@ -256,6 +256,28 @@ def test_usage(spark, data):
     assert all(0 <= x.pvalue <= 1 for x in res)
 
 
+def test_fourier_features_hold_the_whole_kernel(spark):
+    for high in (9.0, 99.0, 999.0):
+        assert gp.fourier_modes(np.zeros(2), np.array([9.0, high]), 2.0)[1].sum() == pytest.approx(1, abs=1e-3)
+    rng = np.random.default_rng(2)
+    xy = np.stack([g.ravel() for g in np.meshgrid(range(10), range(24), indexing="ij")], axis=1).astype(float)
+    y = np.linalg.cholesky(gp.rbf(xy, xy, 1.0) + 0.01 * np.eye(240)) @ rng.normal(size=240)
+    rows = spark.createDataFrame([(s, i, xy[i].tolist(), float(k * y[i])) for k, s in enumerate("ab", 1) for i in range(240)], "series string, spot_id long, coords array<double>, y double").repartition(3)
+    got = {(r.series, r.spot_id): r.res for r in gp.fourier_residuals(rows, 2, 1.0).collect()}
+    for k, s in enumerate("ab", 1):
+        assert np.array([got[s, i] for i in range(240)]) == pytest.approx(gp.DenseGP(xy).residuals(k * y).ravel(), abs=1e-2)
+
+
+def test_rasters_of_any_size_keep_their_transform(spark, data, monkeypatch):
+    use = lambda: {(r.gene_id, r.covariate): (r.statistic, r.pvalue) for r in models.RasterModel().setup_data(data, (6, 5), min_counts=0).test_differential_usage("hsic-gp", residualize="both").collect()}
+    want = use()
+    monkeypatch.setattr(gp, "SUBSET", 10)
+    got = use()
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, rel=1e-9)
+
+
 def test_residual_processes(spark):
     rng = np.random.default_rng(5)
     xy = np.stack([g.ravel() for g in np.meshgrid(range(8), range(8), indexing="ij")], axis=1) * 0.5
