@@ -501,7 +501,7 @@ def glmm_llr(spark: SparkSession, d: str) -> DataFrame:
 
 def _user_events(spark: SparkSession, d: str) -> Dataset:
     """Users on a lattice fifteen wide; event types in two groups."""
-    e = views.table(spark, d, "events").select((F.col("user_id") % 150).alias("spot_id"), F.concat(F.lit("g"), (F.crc32("event_type") % 2).cast("string")).alias("gene_id"), F.col("event_type").alias("iso_id"))
+    e = views.table(spark, d, "events").select(F.col("user_id").alias("spot_id"), F.concat(F.lit("g"), (F.crc32("event_type") % 2).cast("string")).alias("gene_id"), F.col("event_type").alias("iso_id"))
     spots = e.select("spot_id").distinct().select("spot_id", (F.col("spot_id") % 15).cast("double").alias("x"), F.floor(F.col("spot_id") / 15).cast("double").alias("y"))
     counts = e.groupBy("spot_id", "iso_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
     return Dataset(spots, views._isoforms(e.select("iso_id", "gene_id")), counts)

@@ -382,3 +382,11 @@ def test_constant_covariates(spark, data):
     flat = data.spots.select("spot_id", F.lit("c").alias("factor"), F.lit(2.0).alias("z"))
     with pytest.raises(ValueError, match="without variance"):
         models.RasterModel().setup_data(data.with_(design=flat), (6, 5), min_counts=0).test_differential_usage("hsic")
+
+
+def test_user_events_keep_every_user(spark):
+    from spotweave.plans import catalog
+
+    d = "/root/testdata/sf0.1"
+    users = {r.user_id for r in spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct().collect()}
+    assert len(users) > 150 and {r.spot_id for r in catalog._user_events(spark, d).spots.collect()} == users
