@@ -38,9 +38,9 @@ def write_table(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def drop_table(df: DataFrame) -> None:
+def drop_table(df: DataFrame | None) -> None:
     """Delete the files of a table made by :func:`write_table` that no later
-    plan reads."""
+    plan reads (None: there is none)."""
     path = getattr(df, "_spotweave_path", None)
     if path is None:
         return
