@@ -11,24 +11,28 @@ with its own number of segments. (A segment is kept as one 64-bit value: the
 exclusive or of a random value for each bit set. Segments of equal bits have
 equal values.)
 
-Work is on classes, one for each distinct set. Documents that agree in a segment are
-not paired with each other. Instead:
-
-1. The class of a segment's group with most segments shared is its pivot; all
-   members are held against the pivot.
-2. Members that this leaves in different components are held against each other
-   by whole sketches, in blocks, without making rows of pairs.
+Work is on classes, one for each distinct set: a text's copies send their keys
+once a task. Documents that agree in a segment are not paired with each other.
+Instead:
+
+1. The least class of a segment's group is its pivot; all members are held
+   against the pivot. Where a task has many members of one group, all but their
+   least one are held against that one, and only it goes on to the group's own
+   partition, so that a hot segment doesn't meet in one task.
+2. A group in which a member failed and is still of another component than its
+   pivot has its members held against each other by whole sketches, in blocks,
+   without making rows of pairs.
 
 A pair is ruled out if its sketches differ in more than D bits; what remains is
 compared exactly. No link is lost. A group of n near copies costs n comparisons
 of texts, and rows for possible pairs across components only. Components of the
-links follow by stars.
+links follow by stars. Tables on the way are deleted when nothing reads them.
 
 Defined cases: a null or wordless text has an empty set, size 0 and no links; a
 text with fewer words than a shingle is one shingle; copies share a class;
 repeated rows are kept, each with the component of its text; a null id takes
 part but never names a component unless all its ids are null; an empty table
-gives an empty result; further columns are ignored.
+gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,17 +43,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotweave.llm import vectext as vt
 from spotweave.llm.components import connected_components
-from spotweave.llm.store import drop_table, write_table
+from spotweave.llm.store import drop_table, fresh, write_table
 
 #: Up to so many candidate ids (16 MB) they are broadcast to pick texts; beyond, texts are picked by a shuffled join.
 BROADCAST_IDS = 1_000_000
-#: Members of a key that a task holds against as many others.
-BLOCK = 2000
+#: Members of a key that a task holds against as many others, and bytes of sketches it holds against each other at once.
+BLOCK, STRIP_BYTES = 8000, 4 << 20
+#: Keys that a task groups before it sends them; members of one key beyond which all but the least are sent apart; parts they are dealt into.
+WINDOW, MANY, PARTS = 400_000, 8, 256
 #: Partitions of the sketch tried before empty segments are used as they are.
 SEEDS = 6
 
@@ -144,7 +151,7 @@ def _node(s: np.ndarray, seed: int) -> tuple[int, int]:
 def document_sets(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int = 0) -> DataFrame:
     """(id, x, n_shingles, node, check): ``node`` names the distinct set, ``x``
     with the id finds the text again."""
-    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("x"), F.col(text_col).cast("string").alias("__t"))
+    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("x"), F.col(text_col).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,72 +165,105 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, x long, n_shingles long, node long, check long")
 
 
+def window_groups(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, node) with ``rep`` and whether there is one: in a group of
+    more than MANY nodes each row's rep is the least node of the group."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+    key, node = key[new], node[new]
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.concatenate((head, [len(key)])))
+    return key, node, np.repeat(node[head], size), np.repeat(size > MANY, size)
+
+
 def _keys(docs: DataFrame, text_col: str, k: int, num: int, den: int, seed: int) -> DataFrame:
-    """(key, node) of every document with a set."""
-    src = docs.select(F.col(text_col).cast("string").alias("__t"))
+    """(key, node, rep) of every document with a set, once for each set and window of a task."""
+    src = docs.select(F.col(text_col).cast("string").alias("t"))
+
+    def flush(keys: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+        every = np.repeat(np.array(nodes, dtype=np.int64), [len(x) for x in keys])
+        key, node, rep, many = window_groups(vt.as_long(np.concatenate(keys)), every)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(rep, mask=~many)], names=["key", "node", "rep"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        nodes: list[int] = []
+        size, seen = 0, set()
         for batch in batches:
-            keys, nodes, size = [], [], 0
             for _, s in _text_sets(batch.column(0), k):
-                if len(s):
-                    got = segment_keys(s, num, den)
-                    keys.append(got)
-                    nodes.append(np.full(len(got), _node(s, seed)[0], dtype=np.int64))
-                    size += len(got)
-                if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(vt.as_long(np.concatenate(keys))), pa.array(np.concatenate(nodes))], names=["key", "node"])
+                if not len(s):
+                    continue
+                node = _node(s, seed)[0]
+                if node in seen:
+                    continue
+                seen.add(node)
+                keys.append(segment_keys(s, num, den))
+                nodes.append(node)
+                size += len(keys[-1])
+                if size > WINDOW:
+                    out = flush(keys, nodes)
+                    for at in range(0, len(out), 100_000):
+                        yield out.slice(at, 100_000)
                     keys, nodes, size = [], [], 0
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(vt.as_long(np.concatenate(keys))), pa.array(np.concatenate(nodes))], names=["key", "node"])
+                    if len(seen) > WINDOW:
+                        seen = set()
+        if size:
+            yield flush(keys, nodes)
 
-    return src.mapInArrow(run, "key long, node long")
+    return src.mapInArrow(run, "key long, node long, rep long")
 
 
 def _shared(keys: DataFrame) -> DataFrame:
-    """The distinct (key, node) of keys with two nodes or more.
+    """(key, node, pivot) of keys with two nodes or more; nodes a task sent apart
+    have its least node of the key as pivot, all others the key's least one.
 
     Keys are sent once. A partition is sorted and read as a stream that holds one
     row at a time, so a key of any number of documents needs no memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = node = np.zeros(0, dtype=np.int64)
-        sent = False
-        for batch in batches:
-            key, node = np.concatenate((key, batch.column(0).to_numpy())), np.concatenate((node, batch.column(1).to_numpy()))
-            fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
-            key, node = key[fresh], node[fresh]
-            head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            size = np.diff(np.concatenate((head, [len(key)])))
-            many = np.repeat(size > 1, size)
-            if sent:
-                many[0] = False  # handed out with the batch before
-            yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(node[many])], names=["key", "node"])
-            sent = bool(size[-1] > 1) or (sent and len(head) == 1)
-            key, node = key[-1:], node[-1:]
-
-    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long")
-
-
-def _pivot_pairs(weighted: DataFrame) -> DataFrame:
-    """(c, x): each key's node of most weight with each other one of the key,
-    read as a sorted stream that holds one row at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, pivot = None, 0
+        last_key: int | None = None  # of the group under way, with its last and least node
+        last_node = least = 0
+        sent = False  # whether its least node was handed out
         for batch in batches:
             key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            head = np.concatenate(([True], key[1:] != key[:-1]))
-            group = np.cumsum(head) - 1
-            first = node[head].copy()
-            if last is not None and key[0] == last:
-                first[0], head[0] = pivot, False
-            last, pivot = key[-1], first[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(first[group][~head]), pa.array(node[~head])], names=["c", "x"])
-
-    ordered = weighted.select("key", "node", "weight").repartition("key").sortWithinPartitions("key", F.desc("weight"), "node")
-    return ordered.mapInArrow(run, "c long, x long").distinct()
+            rep = batch.column(2).to_numpy(zero_copy_only=False) if batch.column(2).null_count == 0 else batch.column(2).fill_null(-1).to_numpy()
+            apart = (rep >= 0) & (rep != node)
+            if apart.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[apart]), pa.array(node[apart]), pa.array(rep[apart])], names=["key", "node", "pivot"])
+                key, node, rep = key[~apart], node[~apart], rep[~apart]
+            if not len(key):
+                continue
+            new = np.concatenate(([last_key is None or key[0] != last_key], key[1:] != key[:-1]))
+            lead = rep >= 0  # a task has sent others of this key
+            fresh_node = np.concatenate(([new[0] or node[0] != last_node], new[1:] | (node[1:] != node[:-1])))
+            head = np.flatnonzero(new)
+            group = np.cumsum(new) - 1  # -1: of the group under way
+            own = np.where(group >= 0, node[head[np.maximum(group, 0)]] if len(head) else 0, least)
+            # The least node goes out once its group has another.
+            others = np.zeros(len(head), dtype=bool)
+            busy = (fresh_node & ~new) | lead
+            np.logical_or.at(others, group[busy & (group >= 0)], True)
+            out_key, out_node, out_pivot = [key[fresh_node & ~new]], [node[fresh_node & ~new]], [own[fresh_node & ~new]]
+            if len(head) and others.any():
+                out_key.append(key[head[others]])
+                out_node.append(node[head[others]])
+                out_pivot.append(node[head[others]])
+            early = group == -1
+            if early.any() and not sent and busy[early].any():
+                out_key.append(np.array([last_key], dtype=np.int64))
+                out_node.append(np.array([least], dtype=np.int64))
+                out_pivot.append(np.array([least], dtype=np.int64))
+                sent = True
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_key, out_node, out_pivot)], names=["key", "node", "pivot"])
+            if len(head):
+                least, sent = int(node[head[-1]]), bool(others[-1])
+            last_key, last_node = int(key[-1]), int(node[-1])
+
+    apart = F.coalesce(F.col("rep") != F.col("node"), F.lit(False))
+    home = F.when(apart, F.xxhash64("key", F.pmod("node", F.lit(PARTS)))).otherwise(F.col("key"))
+    return keys.repartition(home).sortWithinPartitions(apart, "key", "node").mapInArrow(run, "key long, node long, pivot long")
 
 
 def sketch(s: np.ndarray, num: int, den: int) -> bytes:
@@ -235,22 +275,42 @@ def sketch(s: np.ndarray, num: int, den: int) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _fold(value: int, size: int, to: int) -> int:
-    while size > to:
-        size //= 2
-        value = (value >> (8 * size)) ^ (value & ((1 << (8 * size)) - 1))
-    return value
+def fold(bits: np.ndarray, width: int) -> np.ndarray:
+    """Sketches, one a row, shortened to ``width`` bytes."""
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def sketch_rows(sketches: pa.Array, width: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their sketches as a matrix of bytes) for each length of sketches;
+    with ``width``, one matrix of all, folded to it."""
+    flat = sketches.cast(pa.large_binary())
+    _, offs, body = flat.buffers()
+    at = np.frombuffer(offs, dtype=np.int64)[flat.offset : flat.offset + len(flat) + 1]
+    raw = np.frombuffer(body, dtype=np.uint8) if len(flat) else np.zeros(0, dtype=np.uint8)
+    size = np.diff(at)
+    whole = np.empty((len(size), width), dtype=np.uint8) if width else None
+    for wide in np.unique(size):
+        rows = np.flatnonzero(size == wide)
+        bits = raw[at[rows][:, None] + np.arange(wide)]
+        if whole is None:
+            yield rows, bits
+        else:
+            whole[rows] = fold(bits, width)
+    if whole is not None:
+        yield np.arange(len(size)), whole
+
 
+def _bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(np.ascontiguousarray(a).view(np.uint64) ^ np.ascontiguousarray(b).view(np.uint64)).sum(-1, dtype=np.int64)
 
-def may_link(a: tuple[int, bytes], b: tuple[int, bytes], num: int, den: int) -> bool:
-    """Whether sizes and sketches allow two sets to be similar; never wrong if
-    the answer is no."""
-    (n, s), (m, t) = a, b
-    if den * min(n, m) < num * max(n, m):
-        return False
-    to = min(len(s), len(t))
-    x = _fold(int.from_bytes(s, "little"), len(s), to) ^ _fold(int.from_bytes(t, "little"), len(t), to)
-    return x.bit_count() <= most_apart(n + m, num, den)
+
+def may_link(n: np.ndarray, m: np.ndarray, apart: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sizes and the differing bits of sketches allow sets to be similar;
+    never wrong if the answer is no."""
+    return (den * np.minimum(n, m) >= num * np.maximum(n, m)) & (apart <= (n + m) * (den - num) // (den + num))
 
 
 def _sketches(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -270,10 +330,20 @@ def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
     both = pairs.select("c", "x").join(left, "c").join(right, "x").select("c", "x", "nc", "sc", "nx", "sx")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nc, sc, nx, sx = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
-            ok = pa.array([may_link(a, b, num, den) for a, b in zip(zip(nc, sc, strict=True), zip(nx, sx, strict=True), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["c", "x"])
+        for whole in batches:
+            for at in range(0, len(whole), 2048):
+                batch = whole.slice(at, 2048)
+                n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+                ok = np.zeros(len(batch), dtype=bool)
+                other = {len(y[0]): (r, y) for r, y in sketch_rows(batch.column(5))}
+                for rows, x in sketch_rows(batch.column(3)):
+                    for at_y, y in other.values():
+                        both, i, j = np.intersect1d(rows, at_y, assume_unique=True, return_indices=True)
+                        if len(both):
+                            width = min(x.shape[1], y.shape[1])
+                            ok[both] = may_link(n[both], m[both], _bits_apart(fold(x[i], width), fold(y[j], width)), num, den)
+                keep = pa.array(ok)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["c", "x"])
 
     return both.mapInArrow(run, "c long, x long")
 
@@ -301,12 +371,32 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return both.mapInArrow(run, "c long, x long")
 
 
-def _apart(member: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, root) of the keys whose nodes aren't of one component yet."""
-    named = member.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    named = write_table(named, "jaccard-named")
-    split = write_table(named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi and m > 2").select("key", "m"), "jaccard-split")
-    return named.join(split, "key")
+def _open_keys(member: DataFrame, pairs: DataFrame, near: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """(key, m) of keys with three nodes or more whose nodes aren't of one
+    component yet: a member of such a key failed against its pivot and is of
+    another component than it."""
+    ends = [roots.select(F.col("node").alias(f"n{v}"), F.col("root").alias(f"r{v}")) for v in "cx"]
+    failed = pairs.join(near, ["c", "x"], "left_anti").join(ends[0], F.col("c") == F.col("nc"), "left").join(ends[1], F.col("x") == F.col("nx"), "left")
+    failed = write_table(failed.where(F.coalesce("rc", "c") != F.coalesce("rx", "x")).select("c", "x"), "jaccard-failed")
+    n = failed.count()
+    if not n:
+        drop_table(failed)
+        return None
+    small = F.broadcast(failed) if n <= BROADCAST_IDS else failed
+    keys = member.join(small, (F.col("pivot") == F.col("c")) & (F.col("node") == F.col("x")), "left_semi").select("key").distinct()
+    keys = write_table(keys, "jaccard-open")
+    drop_table(failed)
+    return keys
+
+
+def _apart(member: DataFrame, keys: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root, m) of the members of ``keys``, which are m."""
+    near = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    rows = member.join(near, "key", "left_semi").select("key", "node").distinct()
+    rows = rows.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rows = write_table(rows, "jaccard-apart")
+    many = rows.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("m")).where("m > 2")
+    return rows.join(many, F.col("key") == F.col("k")).select("key", "node", "root", "m")
 
 
 def _within_keys(apart: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
@@ -321,89 +411,97 @@ def _within_keys(apart: DataFrame, sketches: DataFrame, num: int, den: int) -> D
     rows = rows.select("key", "node", "root", "i", F.least("i", "j").alias("b1"), F.greatest("i", "j").alias("b2"))
     rows = rows.join(sk, F.col("node") == F.col("s")).select("key", "b1", "b2", "i", "node", "root", "n", "sk")
 
-    def flush(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        if len(rows) <= 16:
-            for p, a in enumerate(rows):
-                for b in rows[:p]:
-                    if a[2] != b[2] and (a[0] != b[0] or a[5] == a[6]) and may_link(a[3:5], b[3:5], num, den):
-                        yield a[1], b[1]
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Possible pairs of one key and two of its blocks (or one)."""
+        i, node, root, n = (rows.column(c).to_numpy() for c in ("i", "node", "root", "n"))
+        if len(node) < 2 or (root == root[0]).all():
             return
-        width = min(len(r[4]) for r in rows)
-        bits = np.stack([np.frombuffer(_fold(int.from_bytes(r[4], "little"), len(r[4]), width).to_bytes(width, "little"), dtype=np.uint64) for r in rows])
-        n, root, node, block = (np.array([r[c] for r in rows]) for c in (3, 2, 1, 0))
-        same = rows[0][5] == rows[0][6]
-        for lo in range(0, len(rows), 16):
-            hi = min(len(rows), lo + 16)
-            total = n[lo:hi, None] + n[None]
-            apart = np.bitwise_count(bits[lo:hi, None] ^ bits[None]).sum(2, dtype=np.int64)
-            ok = (apart <= total * (den - num) // (den + num)) & (root[lo:hi, None] != root[None]) & (np.arange(lo, hi)[:, None] > np.arange(len(rows)))
-            ok &= den * np.minimum(n[lo:hi, None], n[None]) >= num * np.maximum(n[lo:hi, None], n[None])
-            if not same:
-                ok &= block[lo:hi, None] != block[None]
-            for p, q in zip(*np.nonzero(ok), strict=True):
-                yield int(node[lo + p]), int(node[q])
+        sk = rows.column("sk").combine_chunks()
+        width = int(pa.compute.min(pa.compute.binary_length(sk)).as_py())
+        [(_, bits)] = sketch_rows(sk, width)
+        bits = bits.view(np.uint64)
+        cross = rows.column("b1")[0].as_py() != rows.column("b2")[0].as_py()
+        order = np.argsort(n, kind="stable")
+        bits, i, node, root, n = bits[order], i[order], node[order], root[order], n[order]
+        step = max(1, STRIP_BYTES // max(1, bits.nbytes))
+        for lo in range(0, len(n), step):
+            hi = min(len(n), lo + step)
+            # Sizes rise, so partners that are small enough stand in a row.
+            to = int(np.searchsorted(n, n[hi - 1] * den // num, side="right"))
+            far = np.bitwise_count(bits[lo:hi, None] ^ bits[None, lo:to]).sum(2, dtype=np.int64)
+            ok = may_link(n[lo:hi, None], n[None, lo:to], far, num, den) & (root[lo:hi, None] != root[None, lo:to])
+            ok &= np.arange(lo, hi)[:, None] < np.arange(lo, to)
+            if cross:
+                ok &= i[lo:hi, None] != i[None, lo:to]
+            p, q = np.nonzero(ok)
+            if len(p):
+                a, b = node[lo + p], node[lo + q]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["c", "x"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        at: tuple | None = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            key, b1, b2, i, node, root, n, sk = (c.to_pylist() for c in batch.columns)
-            for r in zip(key, b1, b2, i, node, root, n, sk, strict=True):
-                if r[:3] != at:
-                    out += flush(held)
-                    held, at = [], r[:3]
-                held.append((r[3], r[4], r[5], r[6], r[7], r[1], r[2]))
-            yield _pair_batch(out)
-        yield _pair_batch(list(flush(held)))
+            if not len(batch):
+                continue
+            part = [batch.column(c).to_numpy() for c in range(3)]
+            cut = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in part])) + 1
+            bounds = [0, *cut.tolist(), len(batch)]
+            if held and any(held[0].column(c)[0].as_py() != part[c][0] for c in range(3)):
+                yield from compare(pa.Table.from_batches(held))
+                held = []
+            for s, e in zip(bounds[:-2], bounds[1:-1], strict=True):
+                yield from compare(pa.Table.from_batches([*held, batch.slice(s, e - s)]))
+                held = []
+            held.append(batch.slice(bounds[-2]))
+        if held:
+            yield from compare(pa.Table.from_batches(held))
 
     ordered = rows.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
     return ordered.mapInArrow(run, "c long, x long").distinct()
 
 
-def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=["c", "x"])
-
-
-def similar_links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, seed: int) -> DataFrame:
-    """Links (a, b) between nodes; enough of them to connect all that links connect."""
-    keys = _keys(docs, text_col, k, num, den, seed)
-    member = write_table(_shared(keys), "jaccard-members")
-    weight = member.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
-    pairs = write_table(_pivot_pairs(member.join(weight, "node")), "jaccard-pairs")
+def similar_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, seed: int) -> DataFrame:
+    """Links (a, b) between nodes, as a table; enough of them to connect all that links connect."""
+    member = write_table(_shared(_keys(docs, text_col, k, num, den, seed)), "jaccard-members")
+    pairs = write_table(member.where("node <> pivot").select(F.col("pivot").alias("c"), F.col("node").alias("x")).distinct(), "jaccard-pairs")
 
     # One text for each node that is in a pair.
-    wanted = pairs.select(F.col("c").alias("node")).union(pairs.select(F.col("x").alias("node"))).distinct()
-    one = sets.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "x")).alias("row")).join(wanted, "node")
-    one = write_table(one, "jaccard-wanted")
-    few = one.count() <= BROADCAST_IDS
-    texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__x"), F.col(text_col).cast("string").alias("text"))
-    pick = one.select("node", F.col("row.id").alias("__i"), F.col("row.x").alias("__y"))
-    texts = texts.join(F.broadcast(pick) if few else pick, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__x") == F.col("__y")))
+    wanted = pairs.select(F.col("c").alias("w")).union(pairs.select(F.col("x").alias("w"))).distinct()
+    one = write_table(classes.join(wanted, F.col("node") == F.col("w")).select("node", F.col("row.id").alias("i"), F.col("row.x").alias("y")), "jaccard-wanted")
+    pick = F.broadcast(one) if one.count() <= BROADCAST_IDS else one
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("x"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(pick, F.col("id").eqNullSafe(F.col("i")) & (F.col("x") == F.col("y")))
     texts = write_table(texts.select("node", "text").dropDuplicates(["node"]), "jaccard-texts")
     sketches = write_table(_sketches(texts, k, num, den), "jaccard-sketches")
 
     near = write_table(_verified(_possible(pairs, sketches, num, den), texts, k, num, den), "jaccard-near")
+    links = near.select(F.col("c").alias("a"), F.col("x").alias("b"))
     roots = write_table(connected_components(near, "c", "x"), "jaccard-stars")
-    # What pivots leave apart: members of one key in different components.
-    cross = write_table(_within_keys(_apart(member, roots), sketches, num, den), "jaccard-cross")
-    done = pairs.select(F.least("c", "x").alias("c"), F.greatest("c", "x").alias("x"))
-    cross = cross.join(done, ["c", "x"], "left_anti")
-    more = _verified(cross, texts, k, num, den)
-    return near.select(F.col("c").alias("a"), F.col("x").alias("b")).union(more.select("c", "x"))
+    keys = _open_keys(member, pairs, near, roots)
+    if keys is not None:
+        # What pivots leave apart: members of one key in different components.
+        cross = write_table(_within_keys(_apart(member, keys, roots), sketches, num, den), "jaccard-cross")
+        cross = cross.join(pairs, ["c", "x"], "left_anti")
+        links = links.union(_verified(cross, texts, k, num, den).select("c", "x"))
+    links = write_table(links, "jaccard-links")
+    for done in (member, pairs, one, texts, sketches, near, roots, keys, *([cross] if keys is not None else [])):
+        drop_table(done)
+    return links
 
 
 def _solve(docs: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Rows as (id, x, n_shingles, node), and (node, root) of all nodes."""
+    """Rows as (id, x, n_shingles, node), and (node, least, root) of all nodes
+    with the least id."""
     for seed in range(4):
         sets = write_table(document_sets(docs, id_col, text_col, shingle, seed), "jaccard-sets")
-        split = sets.where("node is not null").groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi")
-        if split.isEmpty():
+        classes = sets.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "x")).alias("row"), F.min("id").alias("least"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+        classes = write_table(classes, "jaccard-classes")
+        if classes.where("lo <> hi").isEmpty():
             break  # else two different sets share a name: name them anew
-    links = write_table(similar_links(docs, sets, id_col, text_col, shingle, num, den, seed), "jaccard-links")
-    roots = write_table(connected_components(links), "jaccard-roots").withColumnRenamed("node", "__n")
-    nodes = sets.where("node is not null").select("node").distinct().join(roots, F.col("node") == F.col("__n"), "left")
-    return sets, nodes.select("node", F.coalesce("root", "node").alias("root"))
+    links = similar_links(docs, classes, id_col, text_col, shingle, num, den, seed)
+    roots = write_table(connected_components(links), "jaccard-roots").withColumnRenamed("node", "n")
+    drop_table(links)
+    return sets, classes.join(roots, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -411,23 +509,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     den * |A & B| >= num * |A | B| for their sets of ``shingle``-word shingles;
     component_id is the least id reachable by links."""
     sets, nodes = _solve(docs, id_col, text_col, shingle, num, den)
-    named = sets.where("node is not null").groupBy(F.col("node").alias("k")).agg(F.min("id").alias("least")).join(nodes, F.col("k") == F.col("node"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(least, "root").select("node", "component_id")
-    out = sets.select("id", "n_shingles", "node").join(of, "node", "left")
+    least = nodes.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
+    of = nodes.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("k"), "component_id")
+    out = sets.select("id", "n_shingles", "node").join(of, F.col("node") == F.col("k"), "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document of each component: that of the least id (ties:
-    one text of it), once if rows repeat. Texts without words all stay."""
+    the text of the least hash; null ids last), once if rows repeat. Texts
+    without words all stay. Further columns pass through, whatever their names."""
     sets, nodes = _solve(docs, id_col, text_col, shingle, num, den)
-    rows = sets.where("node is not null").groupBy("id", "x", "node").agg(F.count(F.lit(1)).alias("many")).join(nodes, "node")
-    best = rows.groupBy(F.col("root").alias("r")).agg(F.min(F.struct("id", "x")).alias("best"))
-    both = rows.join(best, F.col("root") == F.col("r")).withColumn("stays", F.struct("id", "x").eqNullSafe(F.col("best")))
-    marked = both.where(~F.col("stays") | (F.col("many") > 1)).select(F.col("id").alias("__i"), F.col("x").alias("__y"), "stays")
+    rows = sets.where("node is not null").groupBy("id", "x", "node").agg(F.count(F.lit(1)).alias("many")).join(nodes.select("node", "root"), "node")
+    best = rows.groupBy(F.col("root").alias("r")).agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "x")).alias("best"))
+    both = rows.join(best, F.col("root") == F.col("r")).withColumn("stays", F.struct("id", "x").eqNullSafe(F.struct("best.id", "best.x")))
+    i, y, x, stays = fresh(docs, "id", "y", "x", "stays")
+    marked = both.where(~F.col("stays") | (F.col("many") > 1)).select(F.col("id").alias(i), F.col("x").alias(y), F.col("stays").alias(stays))
     marked = write_table(marked, "jaccard-marked")
     near = F.broadcast(marked) if marked.count() <= BROADCAST_IDS else marked
-    all_docs = docs.withColumn("__x", F.xxhash64(F.col(text_col).cast("string"))).join(near, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__x") == F.col("__y")), "left")
-    once = all_docs.where("stays").dropDuplicates([id_col, "__x"])
-    return all_docs.where("stays is null").union(once).select(*docs.columns)
+    all_docs = docs.withColumn(x, F.xxhash64(F.col(text_col).cast("string"))).join(near, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(x) == F.col(y)), "left")
+    once = all_docs.where(F.col(stays)).dropDuplicates([id_col, x])
+    return all_docs.where(F.col(stays).isNull()).union(once).select(*docs.columns)

@@ -25,4 +25,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-__all__ = ["bound_batches", "drop_table", "read", "shared_dir", "write_table"]
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has (case apart)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        n = 0
+        while (made := f"__{name}{n or ''}") in taken:
+            n += 1
+        taken.add(made)
+        out.append(made)
+    return out
+
+
+__all__ = ["bound_batches", "drop_table", "fresh", "read", "shared_dir", "write_table"]
