@@ -7,14 +7,15 @@ posterior, so text that switches language is labelled word by word. A document's
 prediction is the language with the largest mean posterior over its words with
 letters, and that mean is its score.
 
-Learning takes about ``per_lang`` documents of each language to the driver,
-chosen by hash of the id, cuts them into pieces, and strings pieces of different
-languages together, so that transitions at switches are learned too.
+Every value of ``lang`` is learned. Learning takes about ``per_lang`` documents of
+each to the driver, chosen by hash of the id, one text an id, and of these as
+many whole texts as ``most_chars`` a language (MOST_CHARS over all) hold. It cuts them into pieces and strings pieces of
+different languages together, so that transitions at switches are learned too.
 
 ``und`` is predicted for null texts and texts without a letter, with score 0,
-and for all if no language is known. Repeated rows repeat their result; other
-columns pass through unless a result column has their name. At most ``MOST``
-languages (the most frequent) are learned.
+and for all if no language is known. Between languages of equal mean posterior
+the first by code point is predicted. Repeated rows repeat their result; other
+columns pass through, whatever their names, unless a result column has their name.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotweave.llm import vectext as vt
-from spotweave.llm.labelled import held_out
+from spotweave.llm.labelled import chosen_within, free_memory, held_out
+from spotweave.llm.store import drop_table, fresh, write_table
 
 BITS = 17
 DIM = 1 << BITS
-MOST = 32
+#: Characters of text that a fit takes at most, over all languages.
+MOST_CHARS = 32_000_000
 _AFFIXES = (1, 2, 3)
 
 
@@ -90,8 +93,8 @@ class Crf:
         order = rng.permutation(len(words))
         seq = [w for p in order for w in words[p]]
         tag = np.concatenate([np.full(len(words[p]), label[p]) for p in order]) if len(order) else np.zeros(0, dtype=int)
-        self.w, self.trans, self.start = np.zeros((DIM, n)), np.zeros((n, n)), np.zeros(n)
-        gw, gt, gs = np.full((DIM, n), 1e-6), np.full((n, n), 1e-6), np.full(n, 1e-6)
+        self.w, self.trans, self.start = np.zeros((DIM, n), dtype=np.float32), np.zeros((n, n)), np.zeros(n)
+        gw, gt, gs = np.full((DIM, n), 1e-6, dtype=np.float32), np.full((n, n), 1e-6), np.full(n, 1e-6)
         total = len(seq) // piece
         if total == 0 and len(seq):
             piece, total = len(seq), 1
@@ -120,7 +123,6 @@ class Crf:
                 g = first.sum(0) / (hi - lo) - np.bincount(y[:, 0], minlength=n) / (hi - lo)
                 gs += g * g
                 self.start -= rate * g / np.sqrt(gs)
-        self.w = self.w.astype(np.float32)
 
     def _expect(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Posteriors, expected transition counts and first-word posteriors of
@@ -241,24 +243,29 @@ _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = 1
 def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, most_chars: int = 2_000_000) -> Crf | None:
     """A model learned from about ``per_lang`` documents of each language whose
     id isn't held out, with texts of ``most_chars`` characters a language at most
-    (the texts of the least hashes, whole)."""
+    (those of the least hashes, whole; one that doesn't fit is passed over)."""
+    spark = docs.sparkSession
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    counts = known.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MOST).collect()
+    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), F.lit(1 << 30))
+    known = known.select(F.col(lang_col).alias("l"), place.alias("p"), F.col(text_col).cast("string").alias("t"))
+    counts = known.groupBy("l").agg(F.approx_count_distinct("p").alias("n")).collect()  # a row a language
     if not counts:
         return None
     langs = sorted(r["l"] for r in counts)
-    bound = F.lit(None).cast("double")
-    for r in counts:
-        bound = F.when(F.col(lang_col) == r["l"], F.lit(min(1.0, per_lang / r["n"]))).otherwise(bound)
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = known.where(place <= bound).select(F.col(lang_col).alias("l"), place.alias("p"), F.col(text_col).alias("t")).toArrow().sort_by([("l", "ascending"), ("p", "ascending"), ("t", "ascending")]).to_pylist()
-    texts, gold, used = [], [], {}
-    for r in rows:
-        if used.get(r["l"], 0) == 0 or used[r["l"]] + len(r["t"]) <= most_chars:
-            used[r["l"]] = used.get(r["l"], 0) + len(r["t"])
-            texts.append(r["t"])
-            gold.append(langs.index(r["l"]))
-    return Crf(langs, texts, gold)
+    few = spark.createDataFrame([(r["l"], min(1.0, per_lang / r["n"]) * (1 << 30)) for r in counts], "k string, upto double")
+    rows = known.join(F.broadcast(few), (F.col("l") == F.col("k")) & (F.col("p") <= F.col("upto")))
+    rows = write_table(rows.groupBy("l", "p").agg(F.min(F.struct(F.xxhash64("t").alias("x"), "t"))["t"].alias("t")).coalesce(32), "language-sample")
+    sizes = sorted(tuple(r) for r in rows.select("l", "p", F.length("t")).collect())
+    taken = chosen_within([(lang, (lang, p), size) for lang, p, size in sizes], min(most_chars, MOST_CHARS // len(langs)))
+    pick = spark.createDataFrame(taken, "k string, q long")
+    got = rows.join(F.broadcast(pick), (F.col("l") == F.col("k")) & (F.col("p") == F.col("q"))).select("l", "p", "t").toArrow()
+    drop_table(rows)
+    found = sorted(zip(got["l"].to_pylist(), got["p"].to_pylist(), got["t"].to_pylist(), strict=True))
+    number = {x: i for i, x in enumerate(langs)}
+    model = Crf(langs, [t for *_, t in found], [number[x] for x, *_ in found])
+    del got, found
+    free_memory()
+    return model
 
 
 def identify_language(docs: DataFrame, model: Crf | None, text_col: str = "text", keep: list[str] | None = None, spans: bool = False) -> DataFrame:
@@ -269,13 +276,14 @@ def identify_language(docs: DataFrame, model: Crf | None, text_col: str = "text"
     if model is None:
         return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), *([F.array().cast("array<string>").alias("lang_spans")] * spans))
     known = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(*keep, F.col(text_col).cast("string").alias("__t"))
+    [own] = fresh(docs, "t")
+    src = docs.select(*keep, F.col(text_col).cast("string").alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, score, runs = known.value.label(b.column(b.schema.get_field_index("__t")), spans)
+            lang, score, runs = known.value.label(b.column(b.schema.get_field_index(own)), spans)
             cols = [pa.array(lang, pa.string()), pa.array(score, pa.float64())] + [pa.array(runs, pa.list_(pa.string()))] * spans
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), *cols], names=[*keep, *made])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__t"), "lang_pred string", "score double"]) + ", lang_spans array<string>" * spans
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != own), "lang_pred string", "score double"]) + ", lang_spans array<string>" * spans
     return src.mapInArrow(run, schema)

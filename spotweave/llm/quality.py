@@ -7,16 +7,18 @@ scaled to unit length, and a linear hinge-loss model is fitted by dual coordinat
 descent. Margins become probabilities by a logistic curve fitted on margins of
 documents outside the fold that made them, weighted to the classes' true shares.
 
-Fitting takes at most ``per_class`` labelled ids of each class to the driver
-(as indicator numbers); scoring covers every whole text. Null and empty texts
-have no indicators but get a score like any other. Without labels of both
-classes the score is the smoothed share of label 1. Repeated rows repeat their
-score; other columns pass through unless a result column has their name.
+Fitting takes at most ``per_class`` labelled ids of each class to the driver (as
+indicator numbers), one text an id and ``most_bytes`` of text a class at most;
+scoring covers every whole text. Null and empty texts have no indicators but get
+a score like any other. Without labels of both classes the score is the smoothed
+share of label 1. Ids labelled more than once count by majority (ties: 1).
+Repeated rows repeat their score; other columns pass through, whatever their
+names, unless a result column has their name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotweave.llm import vectext as vt
-from spotweave.llm.labelled import bounded_sample
+from spotweave.llm.labelled import SAMPLE_BYTES, bounded_sample, free_memory
+from spotweave.llm.store import fresh
 
 BITS = 18
 DIM = 1 << BITS
@@ -86,13 +89,27 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0)
     return np.log((p / (n1 + 2 * alpha)) / (q / (n0 + 2 * alpha))).astype(np.float32)
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, c: float, epochs: int, seed: int = 1) -> tuple[np.ndarray, float]:
+class UnitRows:
+    """Values of rows, scaled by ``r`` and to unit length, made as they are asked
+    for (all of them would take twice the memory of the rows)."""
+
+    def __init__(self, rows: list[np.ndarray], r: np.ndarray):
+        self.rows, self.r = rows, r
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return _unit(self.rows[i], self.r)
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+
+def dual_coordinate_descent(rows: list[np.ndarray], values: Sequence[np.ndarray], y: np.ndarray, c: float, epochs: int, seed: int = 1) -> tuple[np.ndarray, float]:
     """Weights and bias of min |w|^2/2 + c * sum of hinge losses, classes balanced."""
     w, b = np.zeros(DIM), 0.0
     sign = np.where(y > 0, 1.0, -1.0)
     most = np.where(y > 0, c * len(y) / (2 * max(1, y.sum())), c * len(y) / (2 * max(1, (1 - y).sum())))
     a = np.zeros(len(y))
-    norm = np.array([float(v @ v) + 1.0 for v in values])
+    norm = np.array([float((v := values[i]) @ v) + 1.0 for i in range(len(values))])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
@@ -141,7 +158,7 @@ class Model:
         def fit(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
             some, label = [rows[i] for i in keep], y[keep]
             r = log_count_ratios(some, label)
-            w, b = dual_coordinate_descent(some, [_unit(x, r) for x in some], label, c, epochs)
+            w, b = dual_coordinate_descent(some, UnitRows(some, r), label, c, epochs)
             return r, w, b
 
         margin = np.zeros(len(y))
@@ -164,23 +181,13 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.curve[0] * m + self.curve[1], -35, 35))))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 2500) -> Model | float:
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 2500, most_bytes: int = SAMPLE_BYTES) -> Model | float:
     """A model, or the share of label 1 where there is nothing to tell apart."""
-    sample, share = bounded_sample(docs, labels, id_col, text_col, label_col, per_class)
-    if sample is not None:
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids = [x for _, x in indicators(b.column(2))]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["id", "y", "ids"])
-
-        got = sample.mapInArrow(run, f"id {sample.schema['id'].dataType.simpleString()}, y int, ids array<int>").toArrow().sort_by("id")
-        y = got["y"].to_numpy().astype(np.int64)
-        if 0 < y.sum() < len(y):
-            flat = got["ids"].combine_chunks()
-            values, offs = flat.values.to_numpy(), flat.offsets.to_numpy()
-            return Model([values[s:e] for s, e in zip(offs[:-1], offs[1:], strict=True)], y, share)
-    return (share.get(1, 0) + 1) / (sum(share.values()) + 2)
+    rows, y, share = bounded_sample(docs, labels, id_col, text_col, label_col, per_class, most_bytes, indicators, pa.int32())
+    model = Model(rows, y, share) if 0 < y.sum() < len(y) else (share.get(1, 0) + 1) / (sum(share.values()) + 2)
+    del rows
+    free_memory()
+    return model
 
 
 def score_quality(docs: DataFrame, model: Model | float, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
@@ -190,8 +197,9 @@ def score_quality(docs: DataFrame, model: Model | float, text_col: str = "text",
         return docs.select(*keep, F.lit(float(model)).alias(name))
     known = docs.sparkSession.sparkContext.broadcast(model)
     # The text travels once, whether it is kept or only read.
-    read = text_col if text_col in keep else "__t"
-    src = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("__t")]))
+    [own] = fresh(docs, "t")
+    read = text_col if text_col in keep else own
+    src = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias(own)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,4 +207,4 @@ def score_quality(docs: DataFrame, model: Model | float, text_col: str = "text",
             out = [known.value.score(x) for _, x in indicators(texts)]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(out, pa.float64())], names=[*keep, name])
 
-    return src.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__t"), f"`{name}` double"]))
+    return src.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != own), f"`{name}` double"]))

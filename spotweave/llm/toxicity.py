@@ -5,13 +5,14 @@ term has a short vector; products of vectors score pairs of terms that occur in
 one text, such as an insult with a mention of a group, which added weights miss.
 
 Fitting takes at most ``per_class`` labelled ids of each class to the driver (as
-term hashes). It keeps terms that tell the classes apart or are frequent, and
+term hashes), one text an id and ``most_bytes`` of text a class at most. It keeps terms that tell the classes apart or are frequent, and
 learns by AdaGrad on the log loss. Scores become probabilities by the best rising
 steps (isotonic regression, with a logistic curve to order ties) on scores of
 documents outside the fold that made them, weighted to the classes' true shares. Scoring covers every whole text. Null and empty texts have no
 terms and get the constant's score. Without labels of both classes the score is
-the smoothed share of label 1. Repeated rows repeat their score; other columns
-pass through unless a result column has their name.
+the smoothed share of label 1. Ids labelled more than once count by majority
+(ties: 1). Repeated rows repeat their score; other columns pass through, whatever
+their names, unless a result column has their name.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotweave.llm import vectext as vt
-from spotweave.llm.labelled import bounded_sample
+from spotweave.llm.labelled import SAMPLE_BYTES, bounded_sample, free_memory
 from spotweave.llm.quality import logistic_curve
+from spotweave.llm.store import fresh
 
 PREFIXES = (4, 5)
 
@@ -182,23 +184,19 @@ def fit_calibrated(rows: list[np.ndarray], y: np.ndarray, share: dict[int, int],
     return whole
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2500) -> FactorizationMachine | float:
-    """A model, or the share of label 1 where there is nothing to tell apart."""
-    sample, share = bounded_sample(docs, labels, id_col, text_col, label_col, per_class)
-    if sample is not None:
+def _signed_terms(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    for i, x in document_terms(texts):
+        yield i, vt.as_long(x)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                terms = [vt.as_long(x) for _, x in document_terms(b.column(2))]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(terms, pa.list_(pa.int64()))], names=["id", "y", "terms"])
 
-        got = sample.mapInArrow(run, f"id {sample.schema['id'].dataType.simpleString()}, y int, terms array<long>").toArrow().sort_by("id")
-        y = got["y"].to_numpy().astype(np.int64)
-        if 0 < y.sum() < len(y):
-            flat = got["terms"].combine_chunks()
-            values, offs = flat.values.to_numpy().view(np.uint64), flat.offsets.to_numpy()
-            return fit_calibrated([values[s:e] for s, e in zip(offs[:-1], offs[1:], strict=True)], y, share)
-    return (share.get(1, 0) + 1) / (sum(share.values()) + 2)
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2500, most_bytes: int = SAMPLE_BYTES) -> FactorizationMachine | float:
+    """A model, or the share of label 1 where there is nothing to tell apart."""
+    rows, y, share = bounded_sample(docs, labels, id_col, text_col, label_col, per_class, most_bytes, _signed_terms, pa.int64())
+    rows = [x.view(np.uint64) for x in rows]
+    model = fit_calibrated(rows, y, share) if 0 < y.sum() < len(y) else (share.get(1, 0) + 1) / (sum(share.values()) + 2)
+    del rows
+    free_memory()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine | float, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
@@ -208,12 +206,13 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine | float, text_co
         return docs.select(*keep, F.lit(float(model)).alias(name))
     known = docs.sparkSession.sparkContext.broadcast(model)
     # The text travels once, whether it is kept or only read.
-    read = text_col if text_col in keep else "__t"
-    src = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("__t")]))
+    [own] = fresh(docs, "t")
+    read = text_col if text_col in keep else own
+    src = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias(own)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = known.value.score_texts(b.column(b.schema.get_field_index(read)))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(out, pa.float64())], names=[*keep, name])
 
-    return src.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__t"), f"`{name}` double"]))
+    return src.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != own), f"`{name}` double"]))
