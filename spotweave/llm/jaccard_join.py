@@ -15,10 +15,10 @@ Work is on classes, one for each distinct set: a text's copies send their keys
 once a task. Documents that agree in a segment are not paired with each other.
 Instead:
 
-1. The least class of a segment's group is its pivot; all members are held
-   against the pivot. Where a task has many members of one group, all but their
-   least one are held against that one, and only it goes on to the group's own
-   partition, so that a hot segment doesn't meet in one task.
+1. Segments with the same classes are one group. Its class in most groups is its
+   pivot; all members are held against the pivot. Where a task has many members
+   of one segment, all but their least one go to other partitions, so that a hot
+   segment doesn't meet in one task.
 2. A group in which a member failed and is still of another component than its
    pivot has its members held against each other by whole sketches, in blocks,
    without making rows of pairs.
@@ -57,6 +57,8 @@ BROADCAST_IDS = 1_000_000
 BLOCK, STRIP_BYTES = 8000, 4 << 20
 #: Keys that a task groups before it sends them; members of one key beyond which all but the least are sent apart; parts they are dealt into.
 WINDOW, MANY, PARTS = 400_000, 8, 256
+#: Rows of one key that a task holds to name the group by its members; a larger group keeps its key as name.
+HELD = 100_000
 #: Partitions of the sketch tried before empty segments are used as they are.
 SEEDS = 6
 
@@ -165,16 +167,15 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, x long, n_shingles long, node long, check long")
 
 
-def window_groups(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, node) with ``rep`` and whether there is one: in a group of
-    more than MANY nodes each row's rep is the least node of the group."""
+def window_groups(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the least node of its key, and whether the key has more than MANY rows."""
     order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
-    key, node = key[new], node[new]
-    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sorted_key = key[order]
+    head = np.flatnonzero(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])))
     size = np.diff(np.concatenate((head, [len(key)])))
-    return key, node, np.repeat(node[head], size), np.repeat(size > MANY, size)
+    rep, many = np.empty_like(node), np.empty(len(node), dtype=bool)
+    rep[order], many[order] = np.repeat(node[order][head], size), np.repeat(size > MANY, size)
+    return rep, many
 
 
 def _keys(docs: DataFrame, text_col: str, k: int, num: int, den: int, seed: int) -> DataFrame:
@@ -182,8 +183,9 @@ def _keys(docs: DataFrame, text_col: str, k: int, num: int, den: int, seed: int)
     src = docs.select(F.col(text_col).cast("string").alias("t"))
 
     def flush(keys: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
-        every = np.repeat(np.array(nodes, dtype=np.int64), [len(x) for x in keys])
-        key, node, rep, many = window_groups(vt.as_long(np.concatenate(keys)), every)
+        # Rows stay in the order of nodes, which makes them smaller when they are sent.
+        key, node = vt.as_long(np.concatenate(keys)), np.repeat(np.array(nodes, dtype=np.int64), [len(x) for x in keys])
+        rep, many = window_groups(key, node)
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(rep, mask=~many)], names=["key", "node", "rep"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,56 +216,72 @@ def _keys(docs: DataFrame, text_col: str, k: int, num: int, den: int, seed: int)
     return src.mapInArrow(run, "key long, node long, rep long")
 
 
-def _shared(keys: DataFrame) -> DataFrame:
-    """(key, node, pivot) of keys with two nodes or more; nodes a task sent apart
-    have its least node of the key as pivot, all others the key's least one.
+def _groups(keys: DataFrame) -> DataFrame:
+    """The distinct (g, node) of keys with two nodes or more. ``g`` is a hash of
+    the nodes of the key, so that keys of the same nodes are one group, or the
+    key itself where its nodes don't meet in one task.
 
-    Keys are sent once. A partition is sorted and read as a stream that holds one
-    row at a time, so a key of any number of documents needs no memory.
+    Keys are sent once. A partition is sorted and read as a stream that holds at
+    most HELD rows of one key, so a key of any number of documents needs no memory.
     """
 
+    def named(key: np.ndarray, node: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(g, node) of whole keys."""
+        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.concatenate((head, [len(key)])))
+        led = np.logical_or.reduceat(lead, head)
+        total = np.add.reduceat(vt.splitmix(node.view(np.uint64)), head)
+        g = np.where(led, key[head], vt.as_long(vt.splitmix(total)))
+        many = np.repeat(led | (size > 1), size)
+        return np.repeat(g, size)[many], node[many]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key: int | None = None  # of the group under way, with its last and least node
-        last_node = least = 0
-        sent = False  # whether its least node was handed out
+        none = np.zeros(0, dtype=np.int64)
+        key, node, lead = none, none, none.astype(bool)  # rows of the key under way
+        large: int | None = None  # a key with more than HELD rows
         for batch in batches:
-            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            rep = batch.column(2).to_numpy(zero_copy_only=False) if batch.column(2).null_count == 0 else batch.column(2).fill_null(-1).to_numpy()
-            apart = (rep >= 0) & (rep != node)
-            if apart.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[apart]), pa.array(node[apart]), pa.array(rep[apart])], names=["key", "node", "pivot"])
-                key, node, rep = key[~apart], node[~apart], rep[~apart]
-            if not len(key):
-                continue
-            new = np.concatenate(([last_key is None or key[0] != last_key], key[1:] != key[:-1]))
-            lead = rep >= 0  # a task has sent others of this key
-            fresh_node = np.concatenate(([new[0] or node[0] != last_node], new[1:] | (node[1:] != node[:-1])))
-            head = np.flatnonzero(new)
-            group = np.cumsum(new) - 1  # -1: of the group under way
-            own = np.where(group >= 0, node[head[np.maximum(group, 0)]] if len(head) else 0, least)
-            # The least node goes out once its group has another.
-            others = np.zeros(len(head), dtype=bool)
-            busy = (fresh_node & ~new) | lead
-            np.logical_or.at(others, group[busy & (group >= 0)], True)
-            out_key, out_node, out_pivot = [key[fresh_node & ~new]], [node[fresh_node & ~new]], [own[fresh_node & ~new]]
-            if len(head) and others.any():
-                out_key.append(key[head[others]])
-                out_node.append(node[head[others]])
-                out_pivot.append(node[head[others]])
-            early = group == -1
-            if early.any() and not sent and busy[early].any():
-                out_key.append(np.array([last_key], dtype=np.int64))
-                out_node.append(np.array([least], dtype=np.int64))
-                out_pivot.append(np.array([least], dtype=np.int64))
-                sent = True
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_key, out_node, out_pivot)], names=["key", "node", "pivot"])
-            if len(head):
-                least, sent = int(node[head[-1]]), bool(others[-1])
-            last_key, last_node = int(key[-1]), int(node[-1])
+            k, n, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).fill_null(-1).to_numpy()
+            apart = (rep >= 0) & (rep != n)
+            out = [(k[apart], n[apart])]
+            key, node, lead = (np.concatenate(x) for x in ((key, k[~apart]), (node, n[~apart]), (lead, rep[~apart] >= 0)))
+            fresh_row = np.concatenate((np.ones(min(1, len(key)), dtype=bool), (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+            if len(key):
+                # A row may lead in one task and not in another.
+                lead = np.logical_or.reduceat(lead, np.flatnonzero(fresh_row))
+                key, node = key[fresh_row], node[fresh_row]
+                cut = int(np.searchsorted(key, key[-1]))
+                if large is not None:
+                    upto = int((key == large).sum())
+                    out.append((key[:upto], node[:upto]))
+                    key, node, lead, cut = key[upto:], node[upto:], lead[upto:], max(0, cut - upto)
+                    large = large if not len(key) else None
+                if cut:
+                    out.append(named(key[:cut], node[:cut], lead[:cut]))
+                key, node, lead = key[cut:], node[cut:], lead[cut:]
+                if len(key) > HELD:
+                    large = int(key[-1])
+                    out.append((key, node))
+                    key, node, lead = none, none, none.astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in out])), pa.array(np.concatenate([y for _, y in out]))], names=["g", "node"])
+        if len(key):
+            g, n = named(key, node, lead)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], names=["g", "node"])
 
     apart = F.coalesce(F.col("rep") != F.col("node"), F.lit(False))
     home = F.when(apart, F.xxhash64("key", F.pmod("node", F.lit(PARTS)))).otherwise(F.col("key"))
-    return keys.repartition(home).sortWithinPartitions(apart, "key", "node").mapInArrow(run, "key long, node long, pivot long")
+    return keys.repartition(home).sortWithinPartitions(apart.desc(), "key", "node").mapInArrow(run, "g long, node long").distinct()
+
+
+def _starred(groups: DataFrame) -> DataFrame:
+    """(g, node, pivot): the pivot is the group's node that is in most groups
+    (ties: the greatest)."""
+    weight = write_table(groups.groupBy(F.col("node").alias("w")).agg(F.count(F.lit(1)).alias("weight")), "jaccard-weights")
+    near = F.broadcast(weight) if weight.count() <= BROADCAST_IDS else weight
+    heavy = groups.join(near, F.col("node") == F.col("w"))
+    pivots = heavy.groupBy(F.col("g").alias("p")).agg(F.max(F.struct("weight", "node"))["node"].alias("pivot"))
+    out = write_table(groups.join(pivots, F.col("g") == F.col("p")).select("g", "node", "pivot"), "jaccard-starred")
+    drop_table(weight)
+    return out
 
 
 def sketch(s: np.ndarray, num: int, den: int) -> bytes:
@@ -313,6 +331,16 @@ def may_link(n: np.ndarray, m: np.ndarray, apart: np.ndarray, num: int, den: int
     return (den * np.minimum(n, m) >= num * np.maximum(n, m)) & (apart <= (n + m) * (den - num) // (den + num))
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, text) of the documents that stand for ``nodes`` (rows that repeat
+    stay), and a table to drop when they are read."""
+    one = classes.join(nodes, F.col("node") == F.col("w")).select("node", F.col("row.id").alias("i"), F.col("row.x").alias("y"))
+    one = write_table(one, "jaccard-wanted")
+    pick = F.broadcast(one) if one.count() <= BROADCAST_IDS else one
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("x"), F.col(text_col).cast("string").alias("text"))
+    return texts.join(pick, F.col("id").eqNullSafe(F.col("i")) & (F.col("x") == F.col("y"))).select("node", "text"), one
+
+
 def _sketches(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(node, n, sk) of (node, text)."""
 
@@ -321,7 +349,7 @@ def _sketches(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
             made = [(len(s), sketch(s, num, den)) for _, s in _text_sets(batch.column(1), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([s for _, s in made], pa.binary())], names=["node", "n", "sk"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, n long, sk binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, sk binary").dropDuplicates(["node"])
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
@@ -371,10 +399,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return both.mapInArrow(run, "c long, x long")
 
 
-def _open_keys(member: DataFrame, pairs: DataFrame, near: DataFrame, roots: DataFrame) -> DataFrame | None:
-    """(key, m) of keys with three nodes or more whose nodes aren't of one
-    component yet: a member of such a key failed against its pivot and is of
-    another component than it."""
+def _open_groups(starred: DataFrame, pairs: DataFrame, near: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """(g) of groups whose nodes aren't of one component yet: a member of such a
+    group failed against its pivot and is of another component than it."""
     ends = [roots.select(F.col("node").alias(f"n{v}"), F.col("root").alias(f"r{v}")) for v in "cx"]
     failed = pairs.join(near, ["c", "x"], "left_anti").join(ends[0], F.col("c") == F.col("nc"), "left").join(ends[1], F.col("x") == F.col("nx"), "left")
     failed = write_table(failed.where(F.coalesce("rc", "c") != F.coalesce("rx", "x")).select("c", "x"), "jaccard-failed")
@@ -383,16 +410,17 @@ def _open_keys(member: DataFrame, pairs: DataFrame, near: DataFrame, roots: Data
         drop_table(failed)
         return None
     small = F.broadcast(failed) if n <= BROADCAST_IDS else failed
-    keys = member.join(small, (F.col("pivot") == F.col("c")) & (F.col("node") == F.col("x")), "left_semi").select("key").distinct()
-    keys = write_table(keys, "jaccard-open")
+    groups = starred.join(small, (F.col("pivot") == F.col("c")) & (F.col("node") == F.col("x")), "left_semi").select("g").distinct()
+    groups = write_table(groups, "jaccard-open")
     drop_table(failed)
-    return keys
+    return groups
 
 
-def _apart(member: DataFrame, keys: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, root, m) of the members of ``keys``, which are m."""
-    near = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
-    rows = member.join(near, "key", "left_semi").select("key", "node").distinct()
+def _apart(starred: DataFrame, groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root, m) of the members of ``groups`` of three nodes or more,
+    which are m."""
+    near = F.broadcast(groups) if groups.count() <= BROADCAST_IDS else groups
+    rows = starred.join(near, "g", "left_semi").select(F.col("g").alias("key"), "node")
     rows = rows.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     rows = write_table(rows, "jaccard-apart")
     many = rows.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("m")).where("m > 2")
@@ -462,30 +490,41 @@ def _within_keys(apart: DataFrame, sketches: DataFrame, num: int, den: int) -> D
 
 def similar_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, seed: int) -> DataFrame:
     """Links (a, b) between nodes, as a table; enough of them to connect all that links connect."""
-    member = write_table(_shared(_keys(docs, text_col, k, num, den, seed)), "jaccard-members")
-    pairs = write_table(member.where("node <> pivot").select(F.col("pivot").alias("c"), F.col("node").alias("x")).distinct(), "jaccard-pairs")
 
-    # One text for each node that is in a pair.
-    wanted = pairs.select(F.col("c").alias("w")).union(pairs.select(F.col("x").alias("w"))).distinct()
-    one = write_table(classes.join(wanted, F.col("node") == F.col("w")).select("node", F.col("row.id").alias("i"), F.col("row.x").alias("y")), "jaccard-wanted")
-    pick = F.broadcast(one) if one.count() <= BROADCAST_IDS else one
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("x"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(pick, F.col("id").eqNullSafe(F.col("i")) & (F.col("x") == F.col("y")))
-    texts = write_table(texts.select("node", "text").dropDuplicates(["node"]), "jaccard-texts")
+    def linked(pairs: DataFrame, tag: str) -> DataFrame:
+        ends = pairs.select(F.col("c").alias("w")).union(pairs.select(F.col("x").alias("w"))).distinct()
+        texts, one = _texts(docs, id_col, text_col, classes, ends)
+        texts = write_table(texts.dropDuplicates(["node"]), "jaccard-texts")
+        out = write_table(_verified(pairs, texts, k, num, den), tag)
+        drop_table(texts)
+        drop_table(one)
+        return out
+
+    groups = write_table(_groups(_keys(docs, text_col, k, num, den, seed)), "jaccard-groups")
+    starred = _starred(groups)
+    texts, one = _texts(docs, id_col, text_col, classes, groups.select(F.col("node").alias("w")).distinct())
     sketches = write_table(_sketches(texts, k, num, den), "jaccard-sketches")
+    drop_table(one)
+    drop_table(groups)
 
-    near = write_table(_verified(_possible(pairs, sketches, num, den), texts, k, num, den), "jaccard-near")
+    pairs = write_table(starred.where("node <> pivot").select(F.col("pivot").alias("c"), F.col("node").alias("x")).distinct(), "jaccard-pairs")
+    possible = write_table(_possible(pairs, sketches, num, den), "jaccard-possible")
+    near = linked(possible, "jaccard-near")
     links = near.select(F.col("c").alias("a"), F.col("x").alias("b"))
     roots = write_table(connected_components(near, "c", "x"), "jaccard-stars")
-    keys = _open_keys(member, pairs, near, roots)
-    if keys is not None:
-        # What pivots leave apart: members of one key in different components.
-        cross = write_table(_within_keys(_apart(member, keys, roots), sketches, num, den), "jaccard-cross")
-        cross = cross.join(pairs, ["c", "x"], "left_anti")
-        links = links.union(_verified(cross, texts, k, num, den).select("c", "x"))
-    links = write_table(links, "jaccard-links")
-    for done in (member, pairs, one, texts, sketches, near, roots, keys, *([cross] if keys is not None else [])):
-        drop_table(done)
+    done = [starred, sketches, pairs, possible, roots]
+    left = _open_groups(starred, pairs, near, roots)
+    if left is not None:
+        # What pivots leave apart: members of one group in different components.
+        cross = _within_keys(_apart(starred, left, roots), sketches, num, den)
+        tried = pairs.select(F.least("c", "x").alias("c"), F.greatest("c", "x").alias("x"))
+        cross = write_table(cross.join(tried, ["c", "x"], "left_anti"), "jaccard-cross")
+        done += [left, cross]
+        if not cross.isEmpty():
+            more = linked(cross, "jaccard-more")
+            links = links.union(more.select("c", "x"))
+    for table in done:
+        drop_table(table)
     return links
 
 
@@ -500,7 +539,6 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, shingle: int, num: int,
             break  # else two different sets share a name: name them anew
     links = similar_links(docs, classes, id_col, text_col, shingle, num, den, seed)
     roots = write_table(connected_components(links), "jaccard-roots").withColumnRenamed("node", "n")
-    drop_table(links)
     return sets, classes.join(roots, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
 
 
