@@ -15,7 +15,6 @@ result column, which replaces them.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from bisect import bisect_left, bisect_right
@@ -27,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spotweave.llm.store import fresh
+
 ASSIGN = re.compile(r"""(?:(?ia:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # Maximal runs of hexadecimal digits; shorter runs fail the length test anyway.
 HEX = re.compile(r"[0-9a-f]{24,}")
 WEAK_ID = re.compile(r"""(?ia:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""")
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,128}={0,2}(?![A-Za-z0-9+/_-])")
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_-])")
 ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{3,}")
 BLANK = re.compile(r"\n[ \t\r]*\n")
 
@@ -140,12 +141,13 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
     """
     names = {n for n, *_ in _FIELDS}
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in names and c != text_col]
-    src = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text"), *(f"{n} {t}" for n, t, _ in _FIELDS)])
+    [own] = fresh(docs, "text")
+    src = docs.select(*keep, F.col(text_col).alias(own))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != own), *(f"{n} {t}" for n, t, _ in _FIELDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("__text"))
+            texts = batch.column(batch.schema.get_field_index(own))
             for at in range(0, len(texts), 512):
                 found = [scan(t.as_py(), reach, min_entropy) for t in texts.slice(at, 512)]
                 part = batch.slice(at, 512)
@@ -155,7 +157,3 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
                 )
 
     return src.mapInArrow(run, schema)
-
-
-def sha256_hex(s: str) -> str:
-    return hashlib.sha256(s.encode()).hexdigest()
