@@ -9,17 +9,18 @@ left and right word by word. Items shorter than that length are one span; for
 each such length the k-gram is the whole item and the window is one.
 
 The benchmark is taken in blocks of bounded size, whatever its total; a block's
-table is broadcast and documents are never shuffled or copied.
+table is broadcast. Documents are never shuffled; with several blocks they are
+written once for each block but the last, with what was found so far. A phrase
+that many items share costs a few steps of NumPy an item and place.
 
 Null or empty texts have no words. Repeated documents each get their row;
 repeated items count once by id; items without id count as hits but are not
 named. An empty benchmark or document table gives no hits or no rows. Further
-columns pass through unless a result column has their name.
+columns pass through, whatever their names, unless a result column has their name.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotweave.llm import vectext as vt
-from spotweave.llm.store import write_table
+from spotweave.llm.store import fresh, write_table
 
 #: Bytes of benchmark text whose table is broadcast at once.
 BLOCK_BYTES = 32 << 20
 KGRAM = 5
+#: Pairs of a document's fingerprint and an item's that are extended at once.
+PAIRS = 1 << 18
 
 
 class ItemIndex:
@@ -48,7 +51,9 @@ class ItemIndex:
             if len(h):
                 words.append(h)
                 self.ids.append(None if i is None else str(i))
-        self.words = words
+        self.size = np.array([len(h) for h in words], dtype=np.int64)
+        self.begin = np.concatenate(([0], np.cumsum(self.size)))
+        self.flat = np.concatenate([*words, np.zeros(0, dtype=np.uint64)])
         entries: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for n, h in enumerate(words):
             if len(h) >= span:
@@ -82,47 +87,59 @@ def winnow(g: np.ndarray, window: int) -> np.ndarray:
     return keep
 
 
+def _extended(h: np.ndarray, w: np.ndarray, p: np.ndarray, q: np.ndarray, first: np.ndarray, last: np.ndarray, low: np.ndarray, high: np.ndarray, step: int, most: int) -> np.ndarray:
+    """How many words, ``most`` at most, agree in a row from places p of ``h`` and q
+    of ``w`` on, towards ``step``, within [first, last) and [low, high)."""
+    alike = np.ones(len(p), dtype=bool)
+    far = np.zeros(len(p), dtype=np.int64)
+    for j in range(most):
+        u, v = p + step * j, q + step * j
+        alike &= (u >= first) & (u < last) & (v >= low) & (v < high)
+        at = np.flatnonzero(alike)
+        if not len(at):
+            break
+        alike[at] = h[u[at]] == w[v[at]]
+        far += alike
+    return far
+
+
 def match_chunk(words: vt.Words, index: ItemIndex) -> dict[int, tuple[np.ndarray, set]]:
     """text number -> (its hit words, items found) for texts with a hit."""
     h, first = words.hash, words.first
-    found: dict[int, tuple[np.ndarray, set]] = {}
-    if not len(h):
-        return found
-    done: set[tuple[int, int, int]] = set()
+    cover = np.zeros(len(h) + 1, dtype=np.int64)
+    named: list[np.ndarray] = []
     for (k, window), (fp, items, places) in index.tables.items():
         g = vt.ngrams(h, k)
         if not len(g):
             continue
         cand = np.flatnonzero(winnow(g, window)) if window > 1 else np.arange(len(g))
-        lo = np.searchsorted(fp, g[cand])
-        hit = fp[np.minimum(lo, len(fp) - 1)] == g[cand]
-        cand, lo = cand[hit], lo[hit]
-        for p, a in zip(cand.tolist(), lo.tolist(), strict=True):
-            d = int(np.searchsorted(first, p, side="right")) - 1
-            f, e = int(first[d]), int(first[d + 1])
-            if p + k > e:
-                continue
-            v = fp[a]
-            while a < len(fp) and fp[a] == v:
-                n, off = int(items[a]), p - int(places[a])
-                a += 1
-                if (d, n, off) in done:
-                    continue
-                done.add((d, n, off))
-                w = index.words[n]
-                s, t = max(off, f), min(off + len(w), e)
-                need = min(index.span, len(w))
-                if t - s < need:
-                    continue
-                same = h[s:t] == w[s - off : t - off]
-                # Runs of equal words along this alignment.
-                edge = np.flatnonzero(np.diff(np.concatenate(([False], same, [False])).astype(np.int8)))
-                for x, y in zip(edge[::2], edge[1::2], strict=True):
-                    if y - x >= need:
-                        if d not in found:
-                            found[d] = (np.zeros(e - f, dtype=bool), set())
-                        found[d][0][s - f + x : s - f + y] = True
-                        found[d][1].add(n)
+        lo, hi = np.searchsorted(fp, g[cand]), np.searchsorted(fp, g[cand], side="right")
+        doc = np.searchsorted(first, cand, side="right") - 1
+        keep = (hi > lo) & (cand + k <= first[np.minimum(doc + 1, len(first) - 1)])
+        cand, lo, doc, many = cand[keep], lo[keep], doc[keep], (hi - lo)[keep]
+        upto = np.cumsum(many)
+        for s in range(0, int(upto[-1]) if len(upto) else 0, PAIRS):
+            r = np.arange(s, min(s + PAIRS, int(upto[-1])))
+            c = np.searchsorted(upto, r, side="right")
+            entry = lo[c] + r - (upto[c] - many[c])
+            p, d, n = cand[c], doc[c], items[entry]
+            q = index.begin[n] + places[entry]
+            bounds = (first[d], first[d + 1], index.begin[n], index.begin[n + 1])
+            x = _extended(h, index.flat, p - 1, q - 1, *bounds, -1, window - 1)
+            y = _extended(h, index.flat, p + k, q + k, *bounds, 1, window - 1)
+            ok = x + y >= window - 1
+            np.add.at(cover, (p - x)[ok], 1)
+            np.add.at(cover, (p + k + y)[ok], -1)
+            named.append(np.unique(d[ok] * len(index.ids) + n[ok]))
+    every = np.unique(np.concatenate(named)) if named else np.zeros(0, dtype=np.int64)
+    if not len(every):
+        return {}
+    hit = np.cumsum(cover[:-1]) > 0
+    found: dict[int, tuple[np.ndarray, set]] = {}
+    for d, n in zip((every // len(index.ids)).tolist(), (every % len(index.ids)).tolist(), strict=True):
+        if d not in found:
+            found[d] = (hit[first[d] : first[d + 1]], set())
+        found[d][1].add(n)
     return found
 
 
@@ -132,7 +149,7 @@ def _runs(hit: np.ndarray) -> list[int]:
 
 def _blocks(bench: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[tuple[list, list]]:
     """The items in blocks of about ``limit`` bytes, each fetched on its own."""
-    items = bench.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
+    items = bench.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull()).distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // limit))
     for b in range(n):
@@ -150,8 +167,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", ite
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     spark = docs.sparkSession
     # The text travels once, whether it is kept or only read.
-    read = text_col if text_col in keep else "__t"
-    src = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("__t")]), F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    [own] = fresh(docs, "t")
+    read = text_col if text_col in keep else own
+    src = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias(own)]), F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     types = {f.name: f.dataType.simpleString() for f in src.schema}
     blocks = _blocks(bench, item_id, item_text, block_bytes)
     following = next(blocks)
@@ -193,7 +211,3 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", ite
 def hit_count(runs: str = "hits"):
     """Number of hit words from the bounds [start, end, ...]."""
     return F.expr(f"aggregate(transform({runs}, (x, i) -> IF(i % 2 = 1, x, -x)), 0, (a, x) -> a + x)").cast("long")
-
-
-def sha256_of(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
