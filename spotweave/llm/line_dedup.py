@@ -6,8 +6,10 @@ every page of that host. Only DataFrame operations are used.
 
 Lines are compared without surrounding white space; blank lines are neither
 counted nor dropped. A line counts once a page. Null is a host of its own. A
-null text stays null. A page that loses all lines keeps an empty text. Further
-columns pass through; result columns replace columns of the same name.
+null text stays null. A page that loses all lines keeps an empty text. Rows that repeat
+are pages of their own. A line on exactly ``ratio`` of the pages stays. Further
+columns pass through, whatever their names; result columns replace columns of the
+same name.
 
 The set of lines dropped on a host is bounded: no more than (mean number of
 distinct lines a page) / ratio lines can each be on more than that ratio of the
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.llm.store import write_table
+from spotweave.llm.store import fresh, write_table
 
 #: Up to so many hosts with boilerplate and so many dropped lines in all, the
 #: arrays are broadcast (under 16 MB); beyond, the join shuffles by host.
@@ -68,17 +70,18 @@ def line_dedup(pages: DataFrame, text_col: str = "text", host_col: str = "source
     made = ("n_lines", "n_dropped") if counts else ()
     out = [c for c in pages.columns if c not in made]
     lines = F.split(F.col(text_col), "\n", -1)
+    own, site, gone_lines = fresh(pages, "hash", "host", "drop")
     # Lines are split and hashed once; the passes below read the hashes.
-    base = write_table(pages.select(*out, F.transform(lines, lambda x: F.xxhash64(_bare(x))).alias("__hash")), "line-hashes")
-    drop = write_table(boilerplate(base, host_col, "__hash", ratio, min_pages), "line-drop")
-    size = drop.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("__drop")), F.lit(0))).first()[0]
-    both = base.join(F.broadcast(drop) if size <= BROADCAST_LINES else drop, F.col(host_col).eqNullSafe(F.col("__host")), "left")
-    hit = F.coalesce(F.arrays_overlap("__hash", "__drop"), F.lit(False))
-    stays = F.filter(lines, lambda x, i: ~F.array_contains(F.col("__drop"), F.col("__hash")[i]))
+    base = write_table(pages.select(*out, F.transform(lines, lambda x: F.xxhash64(_bare(x))).alias(own)), "line-hashes")
+    drop = write_table(boilerplate(base, host_col, own, ratio, min_pages).toDF(site, gone_lines), "line-drop")
+    size = drop.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size(gone_lines)), F.lit(0))).first()[0]
+    both = base.join(F.broadcast(drop) if size <= BROADCAST_LINES else drop, F.col(host_col).eqNullSafe(F.col(site)), "left")
+    hit = F.coalesce(F.arrays_overlap(own, gone_lines), F.lit(False))
+    stays = F.filter(lines, lambda x, i: ~F.array_contains(F.col(gone_lines), F.col(own)[i]))
     text = F.when(hit, F.array_join(stays, "\n")).otherwise(F.col(text_col))
     cols = [text.alias(c) if c == text_col else F.col(c) for c in out]
     if counts:
-        filled = F.coalesce(F.size(F.array_remove("__hash", F.xxhash64(F.lit("")))), F.lit(0))
-        gone = F.when(hit, F.size(F.filter("__hash", lambda h: F.array_contains(F.col("__drop"), h)))).otherwise(0)
+        filled = F.coalesce(F.size(F.array_remove(own, F.xxhash64(F.lit("")))), F.lit(0))
+        gone = F.when(hit, F.size(F.filter(own, lambda h: F.array_contains(F.col(gone_lines), h)))).otherwise(0)
         cols += [F.when(F.col(text_col).isNull(), 0).otherwise(filled).cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped")]
     return both.select(*cols)
