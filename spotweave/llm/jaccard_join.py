@@ -167,14 +167,14 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, x long, n_shingles long, node long, check long")
 
 
-def window_groups(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the least node of its key, and whether the key has more than MANY rows."""
+def window_groups(key: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the least node of its key, and whether the key has more than ``most`` rows."""
     order = np.lexsort((node, key))
     sorted_key = key[order]
     head = np.flatnonzero(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])))
     size = np.diff(np.concatenate((head, [len(key)])))
     rep, many = np.empty_like(node), np.empty(len(node), dtype=bool)
-    rep[order], many[order] = np.repeat(node[order][head], size), np.repeat(size > MANY, size)
+    rep[order], many[order] = np.repeat(node[order][head], size), np.repeat(size > most, size)
     return rep, many
 
 
@@ -185,7 +185,7 @@ def _keys(docs: DataFrame, text_col: str, k: int, num: int, den: int, seed: int)
     def flush(keys: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
         # Rows stay in the order of nodes, which makes them smaller when they are sent.
         key, node = vt.as_long(np.concatenate(keys)), np.repeat(np.array(nodes, dtype=np.int64), [len(x) for x in keys])
-        rep, many = window_groups(key, node)
+        rep, many = window_groups(key, node, MANY)
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(rep, mask=~many)], names=["key", "node", "rep"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
