@@ -13,11 +13,13 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where
-    that is unset (single-machine tests)."""
+    """The session's ``spark.checkpoint.dir``; where that is unset, a temporary
+    folder on a local master and an error on a cluster, whose machines share none."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="spotweave-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
