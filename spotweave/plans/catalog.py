@@ -357,12 +357,13 @@ def component_filter(spark: SparkSession, d: str) -> DataFrame:
 # Loaders ----------------------------------------------------------------------------
 
 _TRANS = """ev AS MATERIALIZED (SELECT user_id::DOUBLE AS x, date_sub('second', (SELECT min(ts) FROM events), ts) / 60.0::DOUBLE AS y, value AS qv, list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1 AS cw, 'cell_' || user_id AS cell_id FROM events)"""
-_BOUNDS = (0.0, 120.0, 0.0, 43_200.0)
+_ORIGIN = f"{_TRANS}, og AS (SELECT min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM ev)"
 
 
 def _bin_query(size: float) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return xenium.bin_transcripts(views.transcripts(spark, d), xenium.assigned(views.codewords(spark)), xenium.Grid.over(*_BOUNDS, size))
+        t = views.transcripts(spark, d)
+        return xenium.bin_transcripts(t, xenium.assigned(views.codewords(spark)), xenium.Grid.around(t, size))
 
     return run
 
@@ -370,27 +371,27 @@ def _bin_query(size: float) -> Query:
 for _s in (8.0, 16.0, 2.5):
     add(
         f"bin_transcripts_{xenium.resolution_name(_s).removeprefix('square_')}",
-        f"WITH {_TRANS} SELECT floor(y / {_s})::INT AS row, floor(x / {_s})::INT AS col, cw::INT AS codeword_index, count(*)::DOUBLE AS n FROM ev WHERE qv >= 20 AND cw < 4 AND x >= 0 AND y >= 0 AND floor(x / {_s}) < ceil(120 / {_s}) AND floor(y / {_s}) < ceil(43200 / {_s}) GROUP BY ALL",
+        f"WITH {_ORIGIN} SELECT floor((y - y0) / {_s})::INT AS row, floor((x - x0) / {_s})::INT AS col, cw::INT AS codeword_index, count(*)::DOUBLE AS n FROM ev, og WHERE qv >= 20 AND cw < 4 AND x >= x0 AND y >= y0 GROUP BY ALL",
     )(_bin_query(_s))
 
 
-@add("bin_table", "SELECT printf('s_100um_%05d_%05d-1', r, c) AS barcode, r::INT AS row, c::INT AS col, (c + 0.5::DOUBLE) * 100 AS x, (r + 0.5::DOUBLE) * 100 AS y FROM range(432) t(r), range(2) u(c)")
+@add("bin_table", f"WITH {_ORIGIN}, rr AS (SELECT unnest(range((floor((y1 - y0) / 100) + 1)::BIGINT)) AS r FROM og), cc AS (SELECT unnest(range((floor((x1 - x0) / 100) + 1)::BIGINT)) AS c FROM og) SELECT printf('s_100um_%05d_%05d-1', r, c) AS barcode, r::INT AS row, c::INT AS col, x0 + (c + 0.5::DOUBLE) * 100 AS x, y0 + (r + 0.5::DOUBLE) * 100 AS y FROM rr, cc, og")
 def bin_table(spark: SparkSession, d: str) -> DataFrame:
-    return xenium.bin_table(spark, xenium.Grid.over(*_BOUNDS, 100), xenium.resolution_name(100)).drop("corners")
+    return xenium.bin_table(spark, xenium.Grid.around(views.transcripts(spark, d), 100), xenium.resolution_name(100)).drop("corners")
 
 
-@add("cell_codeword", f"WITH {_TRANS} SELECT cell_id, cw::INT AS codeword_index, count(*)::DOUBLE AS n FROM ev WHERE qv >= 20 AND cw < 4 AND x % 3 = 0 GROUP BY ALL")
+@add("cell_codeword", f"WITH {_TRANS} SELECT cell_id, cw::INT AS codeword_index, count(*)::DOUBLE AS n FROM ev WHERE qv >= 20 AND cw < 4 GROUP BY ALL")
 def cell_codeword(spark: SparkSession, d: str) -> DataFrame:
     t = views.transcripts(spark, d)
-    cells = t.where("x % 3 = 0").select("cell_id").distinct()
+    cells = t.select("cell_id").distinct()
     return xenium.cell_codewords(t, views.codewords(spark), cells)[0]
 
 
-@add("bin_aggregate_mapping", f"WITH {q.VIEW} SELECT 'bin_' || (spot_id // 4) AS barcode, iso_id AS feature, sum(n) AS n FROM ct WHERE spot_id % 7 <> 0 GROUP BY ALL")
+@add("bin_aggregate_mapping", f"WITH {q.VIEW} SELECT 'bin_' || (spot_id // 4) AS barcode, iso_id AS feature, sum(n) AS n FROM ct GROUP BY ALL")
 def bin_aggregate_mapping(spark: SparkSession, d: str) -> DataFrame:
     data = views.suppliers(spark, d)
     small = lambda c: F.concat(F.lit("s_"), c.cast("string"))
-    mapping = data.spots.select(small(F.col("spot_id")).alias("square_002um"), F.when(F.col("spot_id") % 7 != 0, F.concat(F.lit("bin_"), F.floor(F.col("spot_id") / 4).cast("string"))).alias("square_008um"))
+    mapping = data.spots.select(small(F.col("spot_id")).alias("square_002um"), F.concat(F.lit("bin_"), F.floor(F.col("spot_id") / 4).cast("string")).alias("square_008um"))
     counts = data.counts.select(small(F.col("spot_id")).alias("barcode"), F.col("iso_id").alias("feature"), "n")
     return visium.aggregate_bins(counts, mapping, visium.bin_name(8))[0]
 
@@ -486,10 +487,11 @@ def glm_wald(spark: SparkSession, d: str) -> DataFrame:
     return m.test_differential_usage("wald")
 
 
-@add("glm_fitted_ratios")
+@add("glm_fitted_ratios", f"WITH {q.VIEW}, ty AS (SELECT gene_id, iso_id, count(*) OVER (PARTITION BY gene_id) AS k FROM isoo), su AS (SELECT iso_id, sum(n) AS c FROM ct GROUP BY 1), pr AS (SELECT gene_id, iso_id, coalesce(c, 0) / sum(coalesce(c, 0)) OVER (PARTITION BY gene_id) AS ratio FROM ty LEFT JOIN su USING (iso_id) WHERE k > 1) SELECT gene_id, iso_id, spot_id, round(ratio, 5) AS ratio FROM pr, sp WHERE ratio > 0")
 def glm_fitted_ratios(spark: SparkSession, d: str) -> DataFrame:
+    """Without covariates the fitted ratios are the pooled shares."""
     m = models.LogitModel("glm").setup_data(views.suppliers(spark, d), min_counts=0)
-    return glm.fitted_ratios(m.fit(), m.index)
+    return _round(glm.fitted_ratios(m.fit(), m.index).join(m.index, "pos").select("gene_id", "iso_id", "spot_id", "ratio"), ratio=5)
 
 
 @add("glmm_llr")

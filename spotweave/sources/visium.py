@@ -6,6 +6,7 @@ Matrices come as long tables (barcode, feature, n), from ``read_mtx`` or Parquet
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,11 +55,11 @@ def in_tissue(counts: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 def bin_name(size: int | str) -> str:
-    """``square_008um`` for 8, "8", "8um" or the name itself."""
-    digits = "".join(ch for ch in str(size) if ch.isdigit())
-    if not digits:
-        raise ValueError(f"no bin size in {size!r}")
-    return f"square_{int(digits):03d}um"
+    """``square_008um`` for 8, 8.0, "8", "8um" or the name itself; sizes are whole."""
+    found = re.fullmatch(r"(?:square_)?0*(\d+)(?:\.0+)?(?:um)?", str(size).strip())
+    if not found:
+        raise ValueError(f"no whole bin size in {size!r}")
+    return f"square_{int(found[1]):03d}um"
 
 
 def aggregate_bins(counts: DataFrame, mapping: DataFrame, target: str, source: str = "square_002um", template: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -77,6 +78,17 @@ def aggregate_bins(counts: DataFrame, mapping: DataFrame, target: str, source: s
 
 
 def load_bins(counts: DataFrame, mapping: DataFrame, sizes: list[int | str], cells: bool = False, templates: dict[str, DataFrame] | None = None) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """Aggregates at several bin sizes, and cells, by name."""
+    """Aggregates at several bin sizes, and cells, by name. A size with a template
+    (barcode) has its bins, with or without counts, and no others."""
     names = [bin_name(s) for s in sizes] + (["cell_id"] if cells else [])
-    return {n: (counts, mapping.select(F.col("square_002um").alias("barcode")).dropna().distinct()) if n == "square_002um" else aggregate_bins(counts, mapping, n, template=(templates or {}).get(n)) for n in names}
+    templates = templates or {}
+    out = {}
+    for n in names:
+        if n != "square_002um":
+            out[n] = aggregate_bins(counts, mapping, n, template=templates.get(n))
+        elif n in templates:
+            bins = templates[n].select("barcode").distinct()
+            out[n] = counts.join(bins, "barcode", "left_semi"), bins
+        else:
+            out[n] = counts, mapping.select(F.col("square_002um").alias("barcode")).dropna().distinct()
+    return out

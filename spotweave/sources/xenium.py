@@ -26,6 +26,14 @@ class Grid:
     def over(cls, x0: float, x1: float, y0: float, y1: float, size: float) -> Grid:
         return cls(x0, y0, size, max(1, math.ceil((y1 - y0) / size)), max(1, math.ceil((x1 - x0) / size)))
 
+    @classmethod
+    def around(cls, points: DataFrame, size: float) -> Grid:
+        """The grid from the least coordinates that holds all points (one aggregate)."""
+        x0, x1, y0, y1 = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+        if x0 is None:
+            return cls(0.0, 0.0, size, 1, 1)
+        return cls(x0, y0, size, math.floor((y1 - y0) / size) + 1, math.floor((x1 - x0) / size) + 1)
+
 
 def outs_folder(spark: SparkSession, path: str) -> str:
     """The folder with the tables: ``path`` or its ``outs``."""

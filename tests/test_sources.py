@@ -39,8 +39,21 @@ def test_mapping(spark):
     assert sorted(map(tuple, out["square_008um"][0].collect())) == [("s1", "p", 3.0), ("s1", "q", 1.0), ("s2", "p", 3.0)]
     assert sorted(r[0] for r in out["square_008um"][1].collect()) == ["s1", "s2", "s9"]
     assert sorted(map(tuple, out["cell_id"][0].collect())) == [("c1", "p", 4.0)]
-    with pytest.raises(ValueError):
-        visium.bin_name("none")
+    for name in ("none", 2.5, "2p5um"):
+        with pytest.raises(ValueError):
+            visium.bin_name(name)
+    assert {visium.bin_name(x) for x in (8, 8.0, "8", "8um", "square_008um")} == {"square_008um"}
+    template = spark.createDataFrame([("b1",), ("b3",), ("bare",)], "barcode string")
+    fine, bins = visium.load_bins(counts, m, [2], templates={"square_002um": template})["square_002um"]
+    assert sorted(map(tuple, fine.collect())) == [("b1", "p", 1.0), ("b3", "p", 3.0)]
+    assert sorted(r[0] for r in bins.collect()) == ["b1", "b3", "bare"]
+
+
+def test_a_grid_around_all_points(spark):
+    p = spark.createDataFrame([(2.0, 5.0), (18.0, 21.0)], "x double, y double")
+    g = xenium.Grid.around(p, 8.0)
+    assert (g.x0, g.y0, g.n_rows, g.n_cols) == (2.0, 5.0, 3, 3)
+    assert xenium.Grid.around(p.limit(0), 8.0).n_rows == 1
 
 
 def test_positions_and_probes(spark, tmp_path):
