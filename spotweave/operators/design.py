@@ -11,30 +11,32 @@ from pyspark.sql import types as T
 
 
 def design_table(spots: DataFrame, columns: list[str], names: list[str] | None = None) -> DataFrame:
-    """Indicators are named ``column_level``; their zeros are left out, as are
-    missing values of numbers."""
+    """Indicators are named ``column_level``; their zeros are left out. Missing
+    numbers are NaN: tests leave such places out (see :func:`missing`)."""
     if names is not None and len(names) != len(columns):
         raise ValueError(f"{len(names)} names for {len(columns)} columns")
     parts = []
     for i, c in enumerate(columns):
         kind, name = spots.schema[c].dataType, (names[i] if names else c)
         if isinstance(kind, T.NumericType | T.BooleanType):
-            parts.append(F.struct(F.lit(name).alias("factor"), F.col(c).cast("double").alias("z")))
+            parts.append(F.struct(F.lit(name).alias("factor"), F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias("z")))
         else:
             parts.append(F.struct(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}_"), F.col(c).cast("string"))).alias("factor"), F.lit(1.0).alias("z")))
     long = spots.select("spot_id", F.explode(F.array(*parts)).alias("f")).select("spot_id", "f.factor", "f.z")
     return long.where(F.col("factor").isNotNull() & F.col("z").isNotNull())
 
 
-def default_names(n: int) -> list[str]:
-    return [f"factor_{i + 1}" for i in range(n)]
+def missing(design: DataFrame) -> dict[str, int]:
+    """Covariates (a short list) with missing numbers, and at how many places."""
+    return {r["factor"]: r["k"] for r in design.where(F.isnan("z")).groupBy("factor").agg(F.count_distinct("spot_id").alias("k")).collect()}
 
 
 def factor_moments(design: DataFrame, n_spots: int) -> DataFrame:
-    """(factor, mean, ss, sd, lo, hi, levels) over all places, absent ones zero:
-    ``ss`` is the centred sum of squares."""
-    n = F.lit(float(n_spots))
-    s = design.groupBy("factor").agg(F.sum("z").alias("s1"), F.sum(F.col("z") * F.col("z")).alias("s2"), F.count(F.lit(1)).alias("k"), F.min("z").alias("lo0"), F.max("z").alias("hi0"), F.count_distinct("z").alias("d0"), F.count_if(F.col("z") == 0).alias("z0"))
+    """(factor, mean, ss, sd, lo, hi, levels) over all places, absent ones zero
+    and NaN ones left out: ``ss`` is the centred sum of squares."""
+    n = F.lit(float(n_spots)) - F.col("gone")
+    z = F.when(~F.isnan("z"), F.col("z"))
+    s = design.groupBy("factor").agg(F.sum(z).alias("s1"), F.sum(z * z).alias("s2"), F.count(z).alias("k"), F.min(z).alias("lo0"), F.max(z).alias("hi0"), F.count_distinct(z).alias("d0"), F.count_if(F.col("z") == 0).alias("z0"), F.count_if(F.isnan("z")).alias("gone"))
     gap = F.col("k") < n
     s = s.withColumn("mean", F.col("s1") / n).withColumn("ss", F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / n, F.lit(0.0)))
     s = s.withColumn("sd", F.sqrt(F.col("ss") / F.greatest(n - 1, F.lit(1.0))))

@@ -109,7 +109,8 @@ def wald(model: Logit) -> np.ndarray:
 @dataclass
 class SpatialLogit:
     """A fitted spatial model: intercepts and coefficients, variance, spatial
-    share, Laplace log marginal likelihood, fitted ratios (places, features)."""
+    share, Laplace log marginal likelihood, fitted ratios (places, features), field
+    (places, features less one)."""
 
     beta: np.ndarray
     s2: float
@@ -117,6 +118,7 @@ class SpatialLogit:
     ll: float
     ratio: np.ndarray
     steps: int
+    field: np.ndarray
 
 
 def _laplace(counts: np.ndarray, x: np.ndarray, lam: np.ndarray, q: np.ndarray, s2: float, theta: float, beta: np.ndarray, nu: np.ndarray, steps: int = 30, tol: float = 1e-8) -> tuple[float, np.ndarray, np.ndarray, int]:
@@ -200,7 +202,7 @@ def fit_spatial_logit(counts: np.ndarray, design: np.ndarray, lam: np.ndarray, q
                     best = (ll, (ls2, lt), be, v, s2, th)
         centre, width = np.array(best[1]), width / 3
     ll, _, beta, nu, s2, th = best
-    return SpatialLogit(beta, s2, th, ll, softmax(x @ beta + nu), used)
+    return SpatialLogit(beta, s2, th, ll, softmax(x @ beta + nu), used, nu)
 
 
 def _tables(pdf: pd.DataFrame, n: int) -> tuple[np.ndarray, list[str]]:
@@ -215,7 +217,7 @@ def _grouped(data: Dataset, index: DataFrame) -> DataFrame:
     return held.select("gene_id", F.format_string("%09d|%s", "ord", "iso_id").alias("iso_id"), "pos", "n")
 
 
-_PARAMS = "gene_id string, model string, features array<string>, beta array<double>, n_covariates int, s2 double, theta double, ll double, steps int, converged boolean, wald array<double>"
+_PARAMS = "gene_id string, model string, features array<string>, beta array<double>, n_covariates int, s2 double, theta double, ll double, steps int, converged boolean, wald array<double>, field array<double>"
 
 
 def fit_models(data: Dataset, index: DataFrame, n: int, design: np.ndarray | None = None, model: str = "glm", eigen: tuple[np.ndarray, np.ndarray] | None = None, method: str | None = None, prior: str = "none", theta: float | None = None) -> DataFrame:
@@ -231,7 +233,7 @@ def fit_models(data: Dataset, index: DataFrame, n: int, design: np.ndarray | Non
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, eig = known.value
         c, names = _tables(pdf, n)
-        row = {"gene_id": pdf["gene_id"].iloc[0], "model": model, "features": [s.split("|", 1)[1] for s in names], "n_covariates": x.shape[1], "s2": 0.0, "theta": 0.0, "converged": True, "wald": np.zeros(0)}
+        row = {"gene_id": pdf["gene_id"].iloc[0], "model": model, "features": [s.split("|", 1)[1] for s in names], "n_covariates": x.shape[1], "s2": 0.0, "theta": 0.0, "converged": True, "wald": np.zeros(0), "field": np.zeros(0)}
         if c.shape[1] < 2:
             return pd.DataFrame([row | {"beta": np.zeros(0), "ll": 0.0, "steps": 0}])[[f.split()[0] for f in _PARAMS.split(", ")]]
         if model == "glm":
@@ -240,7 +242,7 @@ def fit_models(data: Dataset, index: DataFrame, n: int, design: np.ndarray | Non
         else:
             lam, q = eig
             s = fit_spatial_logit(c, x, lam, q, 0.0 if model == "glmm-null" else theta, prior, method or "marginal_newton")
-            row |= {"beta": s.beta.ravel(), "ll": s.ll, "steps": s.steps, "s2": s.s2, "theta": s.theta}
+            row |= {"beta": s.beta.ravel(), "ll": s.ll, "steps": s.steps, "s2": s.s2, "theta": s.theta, "field": s.field.ravel()}
         return pd.DataFrame([row])[[f.split()[0] for f in _PARAMS.split(", ")]]
 
     return _grouped(data, index).groupBy("gene_id").applyInPandas(run, _PARAMS)
@@ -286,17 +288,21 @@ def llr_permutation_test(data: Dataset, index: DataFrame, n: int, eigen: tuple[n
 
 
 def fitted_ratios(models: DataFrame, index: DataFrame, design: np.ndarray | None = None) -> DataFrame:
-    """(gene_id, iso_id, pos, ratio) of logit models."""
+    """(gene_id, iso_id, pos, ratio) of logit models, with their field where they
+    have one; ``design`` as they were fitted with."""
     n = index.count()
     x = np.zeros((n, 0)) if design is None else design
     known = models.sparkSession.sparkContext.broadcast(np.concatenate((np.ones((n, 1)), x), axis=1))
 
     def run(pdfs):
         for pdf in pdfs:
-            for g, names, beta in zip(pdf["gene_id"], pdf["features"], pdf["beta"], strict=True):
+            for g, names, beta, field in zip(pdf["gene_id"], pdf["features"], pdf["beta"], pdf["field"], strict=True):
                 x = known.value
-                r = softmax(x @ np.asarray(beta).reshape(x.shape[1], -1)) if len(names) > 1 else np.ones((len(x), 1))
+                eta = x @ np.asarray(beta).reshape(x.shape[1], -1) if len(names) > 1 else None
+                if eta is not None and len(field):
+                    eta = eta + np.asarray(field).reshape(eta.shape)
+                r = softmax(eta) if eta is not None else np.ones((len(x), 1))
                 for k, name in enumerate(names):
                     yield pd.DataFrame({"gene_id": g, "iso_id": name, "pos": np.arange(len(x), dtype=np.int64), "ratio": r[:, k]})
 
-    return models.select("gene_id", "features", "beta").mapInPandas(run, "gene_id string, iso_id string, pos long, ratio double")
+    return models.select("gene_id", "features", "beta", "field").mapInPandas(run, "gene_id string, iso_id string, pos long, ratio double")

@@ -109,10 +109,12 @@ def group_forms(values: DataFrame, index: DataFrame, kernel: Kernel, permutation
     return values.join(index.select("spot_id", "pos"), "spot_id").select("gene_id", "ch", "pos", "y").groupBy("gene_id").applyInPandas(run, "gene_id string, n_ch int, q double, f1 double, f2 double, f3 double, f4 double, above int")
 
 
-def masked_forms(values: DataFrame, index: DataFrame, kernel: Kernel) -> DataFrame:
+def masked_forms(values: DataFrame, index: DataFrame, kernel: Kernel, permutations: int = 0, permutation: Callable[[int, int], np.ndarray] | None = None, seed: int = 0) -> DataFrame:
     """Like group_forms for ratios without filling: each group's kernel is cut to
-    the places that have ratios, with its own traces k1..k4 and size n."""
+    the places that have ratios, with its own traces k1..k4 and size n; these
+    places are permuted among themselves."""
     known = values.sparkSession.sparkContext.broadcast(kernel)
+    permute = permutation or _random_permutation(seed)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         valid = np.unique(pdf["pos"].to_numpy())
@@ -120,11 +122,13 @@ def masked_forms(values: DataFrame, index: DataFrame, kernel: Kernel) -> DataFra
         code, names = pd.factorize(pdf["ch"], sort=True)
         x = np.zeros((k.n, len(names)))
         x[np.searchsorted(valid, pdf["pos"].to_numpy()), code] = pdf["y"].to_numpy()
-        c = k.cumulants()
-        return pd.DataFrame([[pdf["gene_id"].iloc[0], len(names), k.n, float((x * k.apply(x)).sum()), *traces(x), *(c[p] for p in (1, 2, 3, 4))]], columns=["gene_id", "n_ch", "n", "q", "f1", "f2", "f3", "f4", "k1", "k2", "k3", "k4"])
+        c = {p: 1.0 for p in (1, 2, 3, 4)} if permutations else k.cumulants()
+        q = float((x * k.apply(x)).sum())
+        above = sum(float((y * k.apply(y)).sum()) >= q * (1 - 1e-12) for y in (x[permute(k.n, b)] for b in range(permutations)))
+        return pd.DataFrame([[pdf["gene_id"].iloc[0], len(names), k.n, q, *traces(x), *(c[p] for p in (1, 2, 3, 4)), above]], columns=["gene_id", "n_ch", "n", "q", "f1", "f2", "f3", "f4", "k1", "k2", "k3", "k4", "above"])
 
     cols = ", ".join(f"{a}{p} double" for a in "fk" for p in (1, 2, 3, 4))
-    return values.join(index.select("spot_id", "pos"), "spot_id").select("gene_id", "ch", "pos", "y").groupBy("gene_id").applyInPandas(run, f"gene_id string, n_ch int, n long, q double, {cols}")
+    return values.join(index.select("spot_id", "pos"), "spot_id").select("gene_id", "ch", "pos", "y").groupBy("gene_id").applyInPandas(run, f"gene_id string, n_ch int, n long, q double, {cols}, above int")
 
 
 def test_from_forms(forms: DataFrame, groups: DataFrame, n: int, cumulants: dict[int, float], null: str, kind: str, permutations: int = 0) -> DataFrame:
@@ -141,7 +145,7 @@ def test_from_forms(forms: DataFrame, groups: DataFrame, n: int, cumulants: dict
     out = groups.join(forms, "gene_id", "left")
     none = F.col("q").isNull() | ((F.lit(kind) == "ir") & (F.col("n_isos") <= 1))
     bad = F.isnan("q") | (F.abs("q") == float("inf"))
-    out = out.select("gene_id", F.when(none, 0.0).otherwise(stat).alias("statistic"), F.when(none | bad, 1.0).otherwise(p).alias("pvalue"))
+    out = out.select("gene_id", F.when(none | bad, 0.0).otherwise(stat).alias("statistic"), F.when(none | bad, 1.0).otherwise(p).alias("pvalue"))
     return adjust(out, order=["gene_id"])
 
 
@@ -152,12 +156,14 @@ def spatial_variability(data: Dataset, index: DataFrame, kernel: Kernel, n: int,
     groups = data.isoforms.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n_isos"))
     values = sparse_values(data, kind, transform, n)
     if nan_filling == "none" and kind == "ir":
-        forms = masked_forms(values, index, kernel)
+        forms = masked_forms(values, index, kernel, permutations if null == "perm" else 0, permutation, seed)
         f, k = ({p: F.col(f"{a}{p}") for p in (1, 2, 3, 4)} for a in "fk")
         out = groups.join(forms, "gene_id", "left")
         none = F.col("q").isNull() | (F.col("n_isos") <= 1) | (F.col("n") < 2)
         stat = F.col("q") / F.pow(F.greatest(F.col("n") - 1, F.lit(1)).cast("double"), F.lit(2))
-        out = out.select("gene_id", F.when(none, 0.0).otherwise(stat).alias("statistic"), F.when(none, 1.0).otherwise(hsic_pvalue("liu" if null == "perm" else null, F.col("q"), k, f, F.col("n"))).alias("pvalue"))
+        p = (1 + F.col("above")) / F.lit(permutations + 1.0) if null == "perm" else F.lit(1.0) if null == "none" else hsic_pvalue(null, F.col("q"), k, f, F.col("n"))
+        bad = F.isnan("q") | (F.abs("q") == float("inf"))
+        out = out.select("gene_id", F.when(none | bad, 0.0).otherwise(stat).alias("statistic"), F.when(none | bad, 1.0).otherwise(p).alias("pvalue"))
         return adjust(out, order=["gene_id"])
     forms = group_forms(values, index, kernel, permutations if null == "perm" else 0, permutation, seed)
     return test_from_forms(forms, groups, n, kernel.cumulants() if null in ("liu", "welch") else {p: 1.0 for p in (1, 2, 3, 4)}, null, kind, permutations)

@@ -7,6 +7,8 @@ to the mean, so filling is needed only where the caller asks for full tables.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,6 +113,17 @@ def ratio_layer(data: Dataset, fill_mean: bool = False) -> DataFrame:
     return held.withColumn("ratio", F.col("n") / total).select("spot_id", "iso_id", "ratio")
 
 
+def counts_and_ratios(data: Dataset, filter_single_iso_genes: bool = True) -> DataFrame:
+    """(gene_id, iso_id, spot_id, n, ratio) by group, feature and place, in order.
+    Deprecated: use the counts of the dataset and :func:`ratio_layer`."""
+    warnings.warn("counts_and_ratios is deprecated; use ratio_layer", DeprecationWarning, stacklevel=2)
+    iso = data.isoforms.select("iso_id", "gene_id")
+    if filter_single_iso_genes:
+        iso = iso.join(iso.groupBy("gene_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gene_id"), "gene_id", "left_semi")
+    held = data.counts.where("n <> 0").join(ratio_layer(data), ["spot_id", "iso_id"]).join(iso, "iso_id")
+    return held.select("gene_id", "iso_id", "spot_id", "n", "ratio").orderBy("gene_id", "iso_id", "spot_id")
+
+
 def responses(data: Dataset, kind: str, transform: str = "none", n_spots: int | None = None) -> DataFrame:
     """Centred responses (gene_id, ch, spot_id, y, n_isos) for a test kind:
     ``gc`` group totals, ``ic`` feature counts, ``ir`` feature ratios.

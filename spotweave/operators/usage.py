@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spotweave.functions.dist import chi2_sf, fisher_combine, liu_sf, t_sf2, tippett_combine
 from spotweave.functions.fdr import adjust
-from spotweave.operators.design import factor_moments
+from spotweave.operators.design import factor_moments, missing
 from spotweave.operators.hsic import feature_cumulants, sparse_values
 from spotweave.operators.ratios import ratios
 from spotweave.schema import Dataset, one_of
@@ -42,6 +42,19 @@ def linear_hsic(values: DataFrame, design: DataFrame, n_spots: int) -> DataFrame
     return both.select("gene_id", F.col("factor").alias("covariate"), (F.col("q") / F.pow(F.greatest(n - 1, F.lit(1.0)), F.lit(2))).alias("statistic"), liu_sf(F.col("q") * n, *c).alias("pvalue"))
 
 
+def complete_hsic(values: DataFrame, design: DataFrame, n_spots: int) -> DataFrame:
+    """linear_hsic, where each covariate is tested on the places at which it is
+    not missing."""
+    gaps = missing(design)
+    out = linear_hsic(values, design.where(~F.col("factor").isin(list(gaps))), n_spots)
+    for factor, k in gaps.items():
+        own = design.where(F.col("factor") == factor)
+        here = values.join(own.where(F.isnan("z")).select("spot_id").distinct(), "spot_id", "left_anti")
+        if n_spots - k > 1:
+            out = out.union(linear_hsic(here, own.where(~F.isnan("z")), n_spots - k))
+    return out
+
+
 def _finish(data: Dataset, design: DataFrame, tested: DataFrame) -> DataFrame:
     out = _all_pairs(data, design).join(tested, ["gene_id", "covariate"], "left")
     out = out.select("gene_id", "covariate", F.coalesce("statistic", F.lit(0.0)).alias("statistic"), F.coalesce("pvalue", F.lit(1.0)).alias("pvalue"))
@@ -50,8 +63,9 @@ def _finish(data: Dataset, design: DataFrame, tested: DataFrame) -> DataFrame:
 
 def differential_usage(data: Dataset, design: DataFrame, n_spots: int, kind: str = "ir", transform: str = "none") -> DataFrame:
     """(gene_id, covariate, statistic, pvalue, pvalue_adj) by linear HSIC; the
-    adjustment is within each covariate."""
-    return _finish(data, design, linear_hsic(sparse_values(data, kind, transform, n_spots), design, n_spots))
+    adjustment is within each covariate. A covariate with missing numbers is
+    tested on the places that have it."""
+    return _finish(data, design, complete_hsic(sparse_values(data, kind, transform, n_spots), design, n_spots))
 
 
 def two_sample(data: Dataset, design: DataFrame, n_spots: int, full_places: bool = False) -> DataFrame:
@@ -60,7 +74,7 @@ def two_sample(data: Dataset, design: DataFrame, n_spots: int, full_places: bool
     without ratio are left out."""
     level = factor_moments(design, n_spots).where("levels = 2").select("factor", F.col("lo"), F.col("hi"))
     group = data.spots.select("spot_id").crossJoin(F.broadcast(level)).join(design, ["spot_id", "factor"], "left")
-    group = group.select("spot_id", F.col("factor").alias("covariate"), (F.coalesce("z", F.lit(0.0)) > (F.col("lo") + F.col("hi")) / 2).cast("int").alias("g"))
+    group = group.where(~F.coalesce(F.isnan("z"), F.lit(False))).select("spot_id", F.col("factor").alias("covariate"), (F.coalesce("z", F.lit(0.0)) > (F.col("lo") + F.col("hi")) / 2).cast("int").alias("g"))
     r = ratios(data, "none", n_spots)
     s = r.join(group, "spot_id").groupBy("gene_id", "covariate", "iso_id").agg(
         *(f(F.when(F.col("g") == g, F.col("r"))).alias(f"{name}{g}") for g in (0, 1) for name, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp)))

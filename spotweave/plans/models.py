@@ -5,10 +5,11 @@ Models hold plans and small driver state (a kernel, its traces), never data.
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spotweave.functions.dist import chi2_sf, null_method
@@ -19,7 +20,7 @@ from spotweave.operators.filters import filter_components, filter_features, filt
 from spotweave.operators.kernels import DENSE_LIMIT, DenseKernel, IdentityKernel, Kernel, TorusKernel, car_kernel
 from spotweave.plans.chunks import workers
 from spotweave.schema import Dataset, one_of
-from spotweave.sources.sinks import formatted
+from spotweave.sources.sinks import formatted, load, save
 from spotweave.store import write_table
 
 SV_METHODS = ("hsic-ir", "hsic-ic", "hsic-gc")
@@ -70,6 +71,10 @@ class _Model:
         variance; with ``both``, the ratios' residuals too."""
         d = self.design_long()
         dz.check_variance(d, self.n, 0.0)
+        dz.check_variance(d, self.n, 1e-5, strict=False)
+        gaps = dz.missing(d)
+        if gaps:
+            raise ValueError(f"missing numbers in {', '.join(sorted(gaps))}: fill them or leave those places out")
         res = gp.residual_columns(d.select(F.col("factor").alias("series"), "spot_id", F.col("z").alias("y")), spots, self.n, method, length)
         w = Window.partitionBy("series")
         centred = (F.col("res") - F.avg("res").over(w)) / F.nullif(F.stddev_pop("res").over(w), F.lit(0.0))
@@ -206,6 +211,31 @@ class LogitModel(_Model):
         self.models = write_table(glm.fit_models(self.data, self.index, self.n, x, model or self.model_type, self.eigen, self.method, self.prior), "models")
         return self.models
 
+    def save(self, path: str) -> None:
+        """Fitted models, numbered places and settings, as Parquet under ``path``."""
+        spark = self.models.sparkSession
+        kept = {"model_type": self.model_type, "k_neighbors": self.k, "rho": self.rho, "standardize_cov": self.standardise, "approx_rank": self.rank, "fitting_method": self.method, "var_prior": self.prior}
+        save(self.models, f"{path}/models")
+        save(self.index, f"{path}/index")
+        save(self.data.isoforms, f"{path}/isoforms")
+        save(spark.createDataFrame([(json.dumps({"settings": kept, "factors": self.factors, "n": self.n}),)], "value string"), f"{path}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LogitModel:
+        """A saved model: its parameters, summaries, fitted ratios and Wald test
+        are there; tests that need counts need ``setup_data`` first."""
+        kept = json.loads(load(spark, f"{path}/settings").first()[0])
+        out = cls(**kept["settings"])
+        out.factors, out.n, out.sv, out.du = kept["factors"], kept["n"], None, None
+        out.models, out.index = load(spark, f"{path}/models"), load(spark, f"{path}/index")
+        out.data = Dataset(out.index.select("spot_id"), load(spark, f"{path}/isoforms"), None)
+        return out
+
+    def fitted_ratios(self) -> DataFrame:
+        """(gene_id, iso_id, spot_id, ratio) of the fitted models."""
+        x = self.design_matrix()[0] if self.factors else None
+        return glm.fitted_ratios(self.models, self.index, x).join(self.index, "pos").select("gene_id", "iso_id", "spot_id", "ratio")
+
     def training_summary(self) -> DataFrame:
         return self.models.select("gene_id", "model", "ll", "steps", "converged", "s2", "theta")
 

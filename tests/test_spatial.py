@@ -390,3 +390,73 @@ def test_user_events_keep_every_user(spark):
     d = "/root/testdata/sf0.1"
     users = {r.user_id for r in spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct().collect()}
     assert len(users) > 150 and {r.spot_id for r in catalog._user_events(spark, d).spots.collect()} == users
+
+
+def test_masked_permutation_null(spark, data):
+    """Valid places of each group are permuted among themselves."""
+    m = models.PlaceModel().setup_data(data, min_counts=0)
+    turn = lambda n, b: np.roll(np.arange(n), b + 1)
+    kernel = models.car_kernel(m.precision, m.n, m.standardise, centred=False)
+    got = {r.gene_id: r for r in hsic.spatial_variability(m.data, m.index, kernel, m.n, "ir", "perm", "none", "none", 19, turn).collect()}
+    order = [r.spot_id for r in m.index.orderBy("pos").collect()]
+    for gene, cols in (("g1", slice(0, 2)), ("g2", slice(2, 5))):
+        c = COUNTS[order][:, cols]
+        valid = np.flatnonzero(c.sum(1) > 0)
+        x = c[valid] / c[valid].sum(1, keepdims=True)
+        x = x - x.mean(0)
+        k = MaskedKernel(kernel, valid)
+        form = lambda y: float((y * k.apply(y)).sum())  # noqa: B023, E731
+        want = (1 + sum(form(x[turn(len(x), b)]) >= form(x) * (1 - 1e-12) for b in range(19))) / 20
+        assert got[gene].pvalue == pytest.approx(want)
+    none = hsic.spatial_variability(m.data, m.index, kernel, m.n, "ir", "none", "none", "none")
+    assert {r.pvalue for r in none.collect()} == {1.0}
+
+
+def test_missing_covariates_leave_their_places_out(spark, data):
+    spots = data.spots.withColumn("age", F.when(F.col("spot_id") % 4 != 1, F.col("spot_id") / 3.0)).withColumn("two", F.when(F.col("spot_id") != 2, (F.col("spot_id") > 14).cast("int")))
+    d = dz.design_table(spots, ["age", "two"])
+    gone = spots.where("age IS NULL").count()
+    assert dz.missing(d) == {"age": gone, "two": 1}
+    moments = {r.factor: r for r in dz.factor_moments(d, 30).collect()}
+    ages = [r.age for r in spots.where("age IS NOT NULL").collect()]
+    assert moments["age"]["mean"] == pytest.approx(np.mean(ages)) and moments["two"]["levels"] == 2
+    y = hsic.sparse_values(data, "ir", "none", 30)
+    got = {r.gene_id: r for r in usage.complete_hsic(y, d, 30).where("covariate = 'age'").collect()}
+    here = spots.where("age IS NOT NULL").select("spot_id")
+    want = usage.linear_hsic(y.join(here, "spot_id", "left_semi"), d.where("factor = 'age' AND NOT isnan(z)"), 30 - gone)
+    assert {r.gene_id: r.statistic for r in want.collect()} == pytest.approx({g: r.statistic for g, r in got.items()})
+    assert usage.t_test_usage(data, d.where("factor = 'two'"), 30).count() == 3  # all groups have a row
+
+
+def test_saved_spatial_models(spark, data, tmp_path):
+    m = models.LogitModel("glmm-full").setup_data(data, min_counts=0)
+    m.fit()
+    ratio = {(r.gene_id, r.iso_id, r.spot_id): r.ratio for r in m.fitted_ratios().collect()}
+    spread = np.std([v for (g, i, _), v in ratio.items() if i == min(k[1] for k in ratio if k[0] == g)])
+    assert spread > 0 and all(r.s == pytest.approx(1) for r in m.fitted_ratios().groupBy("gene_id", "spot_id").agg(F.sum("ratio").alias("s")).collect())
+    m.save(str(tmp_path / "m"))
+    back = models.LogitModel.load(spark, str(tmp_path / "m"))
+    assert back.model_type == "glmm-full" and back.training_summary().count() == 2
+    assert {(r.gene_id, r.iso_id, r.spot_id): r.ratio for r in back.fitted_ratios().collect()} == pytest.approx(ratio)
+
+
+def test_exports_and_old_names(spark, data):
+    import spotweave
+
+    assert spotweave.PlaceModel is models.PlaceModel and "ratios" in dir(spotweave) + spotweave.__all__
+    with pytest.raises(AttributeError):
+        spotweave.nothing  # noqa: B018
+    with pytest.warns(DeprecationWarning):
+        out = spotweave.counts_and_ratios(data)
+    assert {r.gene_id for r in out.select("gene_id").distinct().collect()} == {"g1", "g2"}
+
+
+def test_tables_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from spotweave import store
+
+    unset = SimpleNamespace(get=lambda *a: None)
+    far = SimpleNamespace(sparkContext=SimpleNamespace(master="yarn", getConf=lambda: unset), conf=unset)
+    with pytest.raises(ValueError):
+        store.shared_dir(far)
