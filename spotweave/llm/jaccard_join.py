@@ -538,8 +538,13 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, shingle: int, num: int,
         if classes.where("lo <> hi").isEmpty():
             break  # else two different sets share a name: name them anew
     links = similar_links(docs, classes, id_col, text_col, shingle, num, den, seed)
-    roots = write_table(connected_components(links), "jaccard-roots").withColumnRenamed("node", "n")
-    return sets, classes.join(roots, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    roots = write_table(connected_components(links), "jaccard-roots")
+    of = roots.select(F.col("node").alias("n"), "root")
+    # A table, as are the picks by root: joins of two scans are split where one node or root is hot.
+    nodes = write_table(classes.join(of, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), "jaccard-nodes")
+    drop_table(roots)
+    drop_table(classes)
+    return sets, nodes
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -547,7 +552,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     den * |A & B| >= num * |A | B| for their sets of ``shingle``-word shingles;
     component_id is the least id reachable by links."""
     sets, nodes = _solve(docs, id_col, text_col, shingle, num, den)
-    least = nodes.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
+    least = write_table(nodes.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id")), "jaccard-least")
     of = nodes.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("k"), "component_id")
     out = sets.select("id", "n_shingles", "node").join(of, F.col("node") == F.col("k"), "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
@@ -559,11 +564,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     without words all stay. Further columns pass through, whatever their names."""
     sets, nodes = _solve(docs, id_col, text_col, shingle, num, den)
     rows = sets.where("node is not null").groupBy("id", "x", "node").agg(F.count(F.lit(1)).alias("many")).join(nodes.select("node", "root"), "node")
+    rows = write_table(rows, "jaccard-rows")
     best = rows.groupBy(F.col("root").alias("r")).agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "x")).alias("best"))
+    best = write_table(best, "jaccard-best")
     both = rows.join(best, F.col("root") == F.col("r")).withColumn("stays", F.struct("id", "x").eqNullSafe(F.struct("best.id", "best.x")))
     i, y, x, stays = fresh(docs, "id", "y", "x", "stays")
     marked = both.where(~F.col("stays") | (F.col("many") > 1)).select(F.col("id").alias(i), F.col("x").alias(y), F.col("stays").alias(stays))
     marked = write_table(marked, "jaccard-marked")
+    for table in (sets, nodes, rows, best):
+        drop_table(table)
     near = F.broadcast(marked) if marked.count() <= BROADCAST_IDS else marked
     all_docs = docs.withColumn(x, F.xxhash64(F.col(text_col).cast("string"))).join(near, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(x) == F.col(y)), "left")
     once = all_docs.where(F.col(stays)).dropDuplicates([id_col, x])
