@@ -5,8 +5,10 @@ term has a short vector; products of vectors score pairs of terms that occur in
 one text, such as an insult with a mention of a group, which added weights miss.
 
 Fitting takes at most ``per_class`` labelled ids of each class to the driver (as
-term hashes), one text an id and ``most_bytes`` of text a class at most. It keeps terms that tell the classes apart or are frequent, and
-learns by AdaGrad on the log loss. Scores become probabilities by the best rising
+term hashes), one text an id and ``most_bytes`` of text a class at most. It keeps
+at most ``most_terms`` terms that tell the classes apart or are frequent, and as many
+as a quarter of that which don't, but do so together with another term. It learns by
+AdaGrad on the log loss. Scores become probabilities by the best rising
 steps (isotonic regression, with a logistic curve to order ties) on scores of
 documents outside the fold that made them, weighted to the classes' true shares. Scoring covers every whole text. Null and empty texts have no
 terms and get the constant's score. Without labels of both classes the score is
@@ -17,6 +19,7 @@ their names, unless a result column has their name.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +33,10 @@ from spotweave.llm.quality import logistic_curve
 from spotweave.llm.store import fresh
 
 PREFIXES = (4, 5)
+#: A pair of terms counts as telling if it is in so many documents of label 1, and they are so many deviations more than its terms alone explain.
+PAIR_DOCUMENTS, PAIR_DEVIATIONS = 8, 4.5
+#: Terms of a document whose pairs are looked for (a random choice of a longer document's; counts of pairs found are of whole documents).
+PAIR_TERMS = 256
 
 
 def _chunk_terms(data: np.ndarray, at: np.ndarray) -> tuple[vt.Words, list[np.ndarray]]:
@@ -51,6 +58,72 @@ def document_terms(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield i + d, np.unique(np.concatenate([t[f:e] for t in terms]))
 
 
+def log_odds(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Smoothed log odds ratio of being in a of n1 documents and in b of n0."""
+    return np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
+
+
+def pair_strength(rows: list[np.ndarray], y: np.ndarray, every: np.ndarray, a: np.ndarray, b: np.ndarray, seed: int = 1) -> np.ndarray:
+    """For each of the sorted terms ``every``, in a documents of label 1 and b of
+    label 0: by how many deviations its best pair is in more documents of label 1
+    than the log odds of both terms add up to (0: no pair is telling). Terms in
+    more than half of the documents are left out."""
+    n = len(y)
+    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
+    best = np.zeros(len(every))
+    some = np.flatnonzero((a >= PAIR_DOCUMENTS) & (a + b <= n / 2))
+    if len(some) < 2:
+        return best
+    odds = log_odds(a[some], b[some], n1, n0)
+    number = np.full(len(every), -1, dtype=np.int64)
+    number[some] = np.arange(len(some))
+    bits = np.zeros((len(some), (n + 63) // 64), dtype=np.uint64)  # the documents of each term
+    rng = np.random.default_rng(seed)
+    toxic: list[np.ndarray] = []
+    for d, row in enumerate(rows):
+        ids = number[np.searchsorted(every, row)]
+        ids = ids[ids >= 0]
+        bits[ids, d // 64] |= np.uint64(1 << (d % 64))
+        if y[d]:
+            toxic.append(ids if len(ids) <= PAIR_TERMS else np.sort(rng.choice(ids, PAIR_TERMS, replace=False)))
+
+    def pairs(ids: np.ndarray) -> np.ndarray:
+        i, j = np.triu_indices(len(ids), 1)
+        return ids[i] * len(some) + ids[j]
+
+    def cell(code: np.ndarray) -> np.ndarray:
+        return (vt.splitmix(code.view(np.uint64)) >> np.uint64(40)).astype(np.int64)
+
+    # Cells never undercount, so a pair that is frequent enough is never passed over.
+    table = np.zeros(1 << 24, dtype=np.uint16)
+    for ids in toxic:
+        at = cell(pairs(ids))
+        table[at] += table[at] < 60000
+    found = [np.zeros(0, dtype=np.int64)]
+    for ids in toxic:
+        code = pairs(ids)
+        found.append(code[table[cell(code)] >= PAIR_DOCUMENTS])
+        if len(found) > 64:
+            found = [np.unique(np.concatenate(found))]
+    del table
+    codes = np.unique(np.concatenate(found))
+    label = np.zeros(bits.shape[1], dtype=np.uint64)
+    for d in np.flatnonzero(y):
+        label[d // 64] |= np.uint64(1 << (int(d) % 64))
+    strength = np.zeros(len(some))
+    for lo in range(0, len(codes), 1 << 15):
+        i, j = np.divmod(codes[lo : lo + (1 << 15)], len(some))
+        both = bits[i] & bits[j]
+        m, hit = np.bitwise_count(both).sum(1, dtype=np.int64), np.bitwise_count(both & label).sum(1, dtype=np.int64)
+        p = np.clip(1 / (1 + np.exp(-(math.log(n1 / n0) + odds[i] + odds[j]))), 0.02, 0.98)
+        z = (hit - m * p) / np.sqrt(np.maximum(m, 1) * p * (1 - p))
+        z = np.where((hit >= PAIR_DOCUMENTS) & (z >= PAIR_DEVIATIONS), z, 0)
+        np.maximum.at(strength, i, z)
+        np.maximum.at(strength, j, z)
+    best[some] = strength
+    return best
+
+
 class FactorizationMachine:
     """``terms``: the hashes known, in order; ``value``: what each counts; ``w0``,
     ``w``, ``v``: constant, weights and vectors; ``curve``: slope and shift to log odds;
@@ -87,7 +160,8 @@ class FactorizationMachine:
 
     def _choose(self, rows: list[np.ndarray], y: np.ndarray, most: int) -> None:
         """Terms in three documents or more that differ most between the classes
-        (z score of the log odds), and an eighth of ``most`` by frequency."""
+        (z score of the log odds), an eighth of ``most`` by frequency, and up to a
+        quarter by their best pair."""
         n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
         pos, pc = np.unique(np.concatenate([r for r, t in zip(rows, y, strict=True) if t]), return_counts=True)
         neg, nc = np.unique(np.concatenate([r for r, t in zip(rows, y, strict=True) if not t]), return_counts=True)
@@ -95,16 +169,20 @@ class FactorizationMachine:
         a, b = np.zeros(len(every)), np.zeros(len(every))
         a[np.searchsorted(every, pos)] = pc
         b[np.searchsorted(every, neg)] = nc
-        z = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
+        z = log_odds(a, b, n1, n0)
         z /= np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
         often = a + b >= 3
         order = np.argsort(-np.abs(z) * often, kind="stable")[: most - most // 8]
         order = order[(np.abs(z) * often)[order] >= 1.5]
         common = np.argsort(-(a + b), kind="stable")[: most // 8]
         common = common[often[common]]
-        chosen = np.unique(np.concatenate((order, common)))
+        pair = pair_strength(rows, y, every, a, b)
+        paired = np.argsort(-pair, kind="stable")[: most // 4]
+        paired = np.setdiff1d(paired[pair[paired] > 0], order)
+        chosen = np.unique(np.concatenate((order, common, paired)))
         self.terms = every[chosen]
-        # A term counts by how it tells the classes apart, so that neutral ones don't drown the others.
+        # A term counts by how it tells the classes apart, alone or in a pair, so that neutral ones don't drown the others.
+        z[paired] = np.maximum(np.abs(z[paired]), pair[paired])
         self.value = np.clip(np.abs(z[chosen]) / 6, 0.05, 1.0)
         self._quick()
 

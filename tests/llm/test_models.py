@@ -74,6 +74,54 @@ def test_toxicity_learns_pairs(spark):
     assert tx.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def paired_documents(rng, n):
+    """Term hashes and labels: half the documents have label 1, nearly all by
+    term 3, some by terms 1 and 2 together, which are as frequent in the others."""
+    rows, y = [], []
+    for i in range(n):
+        words = set((rng.choice(600, 60, replace=False) + 10).tolist())
+        kind = i % 50
+        words |= {1, 2} if kind < 2 else {1} if kind < 4 else {2} if kind < 6 else {3} if kind < 29 else set()
+        rows.append(np.sort(tx.vt.splitmix(np.array(sorted(words), dtype=np.uint64))))
+        y.append(int(kind < 2 or 6 <= kind < 29))
+    return rows, np.array(y)
+
+
+def test_terms_that_are_neutral_alone_tell_as_a_pair():
+    rng = np.random.default_rng(3)
+    rows, y = paired_documents(rng, 2500)
+    model = tx.FactorizationMachine(rows, y, most_terms=512)
+    one, two = (int(x) for x in tx.vt.splitmix(np.array([1, 2], dtype=np.uint64)))
+    assert one in model.terms and two in model.terms
+    more, label = paired_documents(rng, 1000)
+    right = np.array([(model.logit(model.find(r)) > 0) == t for r, t in zip(more, label, strict=True)])
+    kind = np.arange(1000) % 50
+    assert right[kind < 2].mean() > 0.8 and right[(kind >= 2) & (kind < 6)].mean() > 0.8 and right.mean() > 0.95
+
+
+def test_pair_strength_equals_a_loop_over_pairs():
+    rng = np.random.default_rng(4)
+    rows, y = paired_documents(rng, 600)
+    every = np.unique(np.concatenate(rows))
+    has = np.array([np.isin(every, r) for r in rows])
+    a, b = has[y > 0].sum(0), has[y == 0].sum(0)
+    got = tx.pair_strength(rows, y, every, a, b)
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    want = np.zeros(len(every))
+    odds = [math.log((p + 0.5) / (n1 - p + 0.5) / ((q + 0.5) / (n0 - q + 0.5))) for p, q in zip(a, b, strict=True)]
+    able = [t for t in range(len(every)) if a[t] >= tx.PAIR_DOCUMENTS and a[t] + b[t] <= len(y) / 2]
+    for i in able:
+        for j in able:
+            if i < j:
+                both = has[:, i] & has[:, j]
+                m, hit = int(both.sum()), int(y[both].sum())
+                p = min(0.98, max(0.02, 1 / (1 + math.exp(-(math.log(n1 / n0) + odds[i] + odds[j])))))
+                z = (hit - m * p) / math.sqrt(max(m, 1) * p * (1 - p))
+                if hit >= tx.PAIR_DOCUMENTS and z >= tx.PAIR_DEVIATIONS:
+                    want[[i, j]] = np.maximum(want[[i, j]], z)
+    assert np.allclose(got, want) and (want > 0).sum() >= 2
+
+
 def test_forward_backward_equals_sums_over_paths():
     m = li.Crf.__new__(li.Crf)
     rng = np.random.default_rng(3)
