@@ -78,41 +78,51 @@ def pair_strength(rows: list[np.ndarray], y: np.ndarray, every: np.ndarray, a: n
     number = np.full(len(every), -1, dtype=np.int64)
     number[some] = np.arange(len(some))
     bits = np.zeros((len(some), (n + 63) // 64), dtype=np.uint64)  # the documents of each term
-    rng = np.random.default_rng(seed)
-    toxic: list[np.ndarray] = []
     for d, row in enumerate(rows):
         ids = number[np.searchsorted(every, row)]
-        ids = ids[ids >= 0]
-        bits[ids, d // 64] |= np.uint64(1 << (d % 64))
-        if y[d]:
-            toxic.append(ids if len(ids) <= PAIR_TERMS else np.sort(rng.choice(ids, PAIR_TERMS, replace=False)))
+        bits[ids[ids >= 0], d // 64] |= np.uint64(1 << (d % 64))
+    # Terms of the same documents (a word and its first letters) have the same pairs.
+    _, one, same = np.unique(bits.view(f"V{bits.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
+    bits, odds = bits[one], odds[one]
+    rng = np.random.default_rng(seed)
+    toxic: list[np.ndarray] = []
+    for d in np.flatnonzero(y):
+        ids = np.flatnonzero(bits[:, d // 64] & np.uint64(1 << (int(d) % 64)))
+        toxic.append(ids if len(ids) <= PAIR_TERMS else np.sort(rng.choice(ids, PAIR_TERMS, replace=False)))
+    high, low = np.tril_indices(PAIR_TERMS, -1)  # those of fewer terms come first
 
     def pairs(ids: np.ndarray) -> np.ndarray:
-        i, j = np.triu_indices(len(ids), 1)
-        return ids[i] * len(some) + ids[j]
+        n = len(ids) * (len(ids) - 1) // 2
+        return ids[low[:n]] * len(one) + ids[high[:n]]
 
     def cell(code: np.ndarray) -> np.ndarray:
-        return (vt.splitmix(code.view(np.uint64)) >> np.uint64(40)).astype(np.int64)
+        return ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).view(np.int64)
 
     # Cells never undercount, so a pair that is frequent enough is never passed over.
     table = np.zeros(1 << 24, dtype=np.uint16)
     for ids in toxic:
         at = cell(pairs(ids))
         table[at] += table[at] < 60000
-    found = [np.zeros(0, dtype=np.int64)]
+    # With h documents, all of label 1, a pair is sqrt(h / ratio) deviations out, where
+    # ratio is the odds of label 1 that its terms add up to; fewer can't be telling.
+    ratio = np.exp(odds)
+    found, held = [np.zeros(0, dtype=np.int64)], 0
     for ids in toxic:
-        code = pairs(ids)
-        found.append(code[table[cell(code)] >= PAIR_DOCUMENTS])
-        if len(found) > 64:
-            found = [np.unique(np.concatenate(found))]
+        code, e = pairs(ids), ratio[ids]
+        n = len(code)
+        need = PAIR_DEVIATIONS**2 * np.clip(n1 / n0 * e[low[:n]] * e[high[:n]], 0.02 / 0.98, 0.98 / 0.02)
+        found.append(code[table[cell(code)] >= np.maximum(need, PAIR_DOCUMENTS)])
+        held += len(found[-1])
+        if held > 1 << 22:
+            found, held = [np.unique(np.concatenate(found))], 0
     del table
     codes = np.unique(np.concatenate(found))
     label = np.zeros(bits.shape[1], dtype=np.uint64)
     for d in np.flatnonzero(y):
         label[d // 64] |= np.uint64(1 << (int(d) % 64))
-    strength = np.zeros(len(some))
+    strength = np.zeros(len(one))
     for lo in range(0, len(codes), 1 << 15):
-        i, j = np.divmod(codes[lo : lo + (1 << 15)], len(some))
+        i, j = np.divmod(codes[lo : lo + (1 << 15)], len(one))
         both = bits[i] & bits[j]
         m, hit = np.bitwise_count(both).sum(1, dtype=np.int64), np.bitwise_count(both & label).sum(1, dtype=np.int64)
         p = np.clip(1 / (1 + np.exp(-(math.log(n1 / n0) + odds[i] + odds[j]))), 0.02, 0.98)
@@ -120,7 +130,7 @@ def pair_strength(rows: list[np.ndarray], y: np.ndarray, every: np.ndarray, a: n
         z = np.where((hit >= PAIR_DOCUMENTS) & (z >= PAIR_DEVIATIONS), z, 0)
         np.maximum.at(strength, i, z)
         np.maximum.at(strength, j, z)
-    best[some] = strength
+    best[some] = strength[same]
     return best
 
 
