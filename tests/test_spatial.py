@@ -1,6 +1,7 @@
 """The spatial engine against dense NumPy and stated cases."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -76,6 +77,17 @@ def test_fdr(spark):
         run([1.2, 0.1])
 
 
+def test_dependent_fdr_sums_its_factor_once_a_group(spark, monkeypatch):
+    many = spark.range(300_000).select("id", (F.col("id") % 3).alias("g"), ((F.col("id") + 1) / 1e12).alias("pvalue"))
+    began = time.monotonic()
+    got = fdr.adjust(many, by=["g"], method="by", order=["id"]).agg(F.max("pvalue_adj").alias("v"))
+    assert cell(got, F.col("v")) == pytest.approx(3e-7 * sum(1 / i for i in range(1, 100_001)), rel=1e-4)
+    assert time.monotonic() - began < 60
+    monkeypatch.setattr(fdr, "TERMS", 2)
+    for k in range(1, 6):
+        assert cell(spark.range(1), fdr._harmonic(F.lit(k).cast("long"))) == pytest.approx(sum(1 / i for i in range(1, k + 1)))
+
+
 @pytest.mark.parametrize("transform", ratios.TRANSFORMS)
 def test_ratios(spark, data, transform):
     got = {}
