@@ -1,5 +1,6 @@
 """The spatial engine against dense NumPy and stated cases."""
 
+import functools
 import math
 import time
 
@@ -472,3 +473,31 @@ def test_tables_need_a_shared_folder():
     far = SimpleNamespace(sparkContext=SimpleNamespace(master="yarn", getConf=lambda: unset), conf=unset)
     with pytest.raises(ValueError):
         store.shared_dir(far)
+
+
+def lattice_precision(high, wide, rho=0.99, kept=1.0):
+    at = np.arange(high * wide).reshape(high, wide)
+    e = np.concatenate((np.stack((at[:-1].ravel(), at[1:].ravel())), np.stack((at[:, :-1].ravel(), at[:, 1:].ravel()))), axis=1)
+    e = e[:, np.random.default_rng(3).random(e.shape[1]) <= kept]
+    i, j, own = np.concatenate((e[0], e[1])), np.concatenate((e[1], e[0])), at.ravel()
+    d = np.maximum(np.bincount(i, minlength=at.size), 1)
+    return np.concatenate((i, own)), np.concatenate((j, own)), np.concatenate((-rho / np.sqrt(d[i] * d[j]), np.ones(at.size)))
+
+
+def no_iteration(self, x):
+    raise AssertionError("conjugate gradients")
+
+
+def test_sparse_kernels_solve_by_levels(monkeypatch):
+    monkeypatch.setattr(SparseKernel, "_times", no_iteration)
+    for kept in (1.0, 0.6, 0.2):  # connected, and in pieces
+        i, j, v = lattice_precision(20, 15, kept=kept)
+        want = DenseKernel.from_precision(i, j, v, standardise=True)
+        got, x = SparseKernel(i, j, v).standardised(), np.random.default_rng(4).normal(size=(300, 2))
+        assert got.apply(x) == pytest.approx(want.apply(x), abs=1e-9)
+        assert got.factor().logdet == pytest.approx(np.linalg.slogdet(np.linalg.inv(DenseKernel.from_precision(i, j, v, centred=False).matrix))[1])
+    far = SparseKernel(*lattice_precision(600, 10), centred=False).standardised()
+    one = np.eye(6000, 1, -3000)
+    assert far.apply(one)[3000, 0] == pytest.approx(1.0)
+    with pytest.raises(AssertionError, match="gradients"):  # not positive definite: left to the iteration
+        SparseKernel(i, j, -v).solve(np.ones((300, 1)))
