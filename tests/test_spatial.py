@@ -501,3 +501,9 @@ def test_sparse_kernels_solve_by_levels(monkeypatch):
     assert far.apply(one)[3000, 0] == pytest.approx(1.0)
     with pytest.raises(AssertionError, match="gradients"):  # not positive definite: left to the iteration
         SparseKernel(i, j, -v).solve(np.ones((300, 1)))
+
+
+def test_conditional_usage_makes_no_kernel(spark, data, monkeypatch):
+    monkeypatch.setattr(models, "car_kernel", lambda *a, **k: pytest.fail("a kernel was made"))
+    m = models.PlaceModel().setup_data(data.with_(design=data.design.where("factor = 'age'")), min_counts=0)
+    assert m.test_differential_usage("hsic-gp").count() == 2
