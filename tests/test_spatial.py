@@ -507,3 +507,15 @@ def test_conditional_usage_makes_no_kernel(spark, data, monkeypatch):
     monkeypatch.setattr(models, "car_kernel", lambda *a, **k: pytest.fail("a kernel was made"))
     m = models.PlaceModel().setup_data(data.with_(design=data.design.where("factor = 'age'")), min_counts=0)
     assert m.test_differential_usage("hsic-gp").count() == 2
+
+
+def test_masked_tests_make_one_kernel_of_any_size(spark, data, monkeypatch):
+    run = lambda: {r.gene_id: (r.statistic, r.pvalue) for r in models.PlaceModel().setup_data(data, min_counts=0).test_spatial_variability("hsic-ir", nan_filling="none").collect()}
+    want, made = run(), []
+    monkeypatch.setattr(SparseKernel, "_times", no_iteration)
+    sparse = functools.partial(models.car_kernel, dense_limit=10)
+    monkeypatch.setattr(models, "car_kernel", lambda *a, **k: made.append(sparse(*a, **k)) or made[-1])
+    got = run()
+    assert len(made) == 1 and isinstance(made[0], SparseKernel) and got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=1e-8)
