@@ -519,3 +519,11 @@ def test_masked_tests_make_one_kernel_of_any_size(spark, data, monkeypatch):
     assert len(made) == 1 and isinstance(made[0], SparseKernel) and got.keys() == want.keys()
     for k, v in want.items():
         assert got[k] == pytest.approx(v, abs=1e-8)
+
+
+def test_gene_counts_on_sparse_kernels(spark, data, monkeypatch):
+    run = lambda: {r.gene_id: r.statistic for r in models.gene_count_test(data).collect()}
+    want = run()
+    monkeypatch.setattr(SparseKernel, "_times", no_iteration)
+    monkeypatch.setattr(models, "car_kernel", functools.partial(models.car_kernel, dense_limit=10))
+    assert run() == {k: pytest.approx(v, rel=1e-8) for k, v in want.items()}
