@@ -289,7 +289,8 @@ def llr_permutation_test(data: Dataset, index: DataFrame, n: int, eigen: tuple[n
 
 def fitted_ratios(models: DataFrame, index: DataFrame, design: np.ndarray | None = None) -> DataFrame:
     """(gene_id, iso_id, pos, ratio) of logit models, with their field where they
-    have one; ``design`` as they were fitted with."""
+    have one; ``design`` as they were fitted with. Spark takes the rows, one a
+    feature and place, for as few as the models: join them by :func:`at_places`."""
     n = index.count()
     x = np.zeros((n, 0)) if design is None else design
     known = models.sparkSession.sparkContext.broadcast(np.concatenate((np.ones((n, 1)), x), axis=1))
@@ -305,4 +306,10 @@ def fitted_ratios(models: DataFrame, index: DataFrame, design: np.ndarray | None
                 for k, name in enumerate(names):
                     yield pd.DataFrame({"gene_id": g, "iso_id": name, "pos": np.arange(len(x), dtype=np.int64), "ratio": r[:, k]})
 
-    return models.select("gene_id", "features", "beta", "field").mapInPandas(run, "gene_id string, iso_id string, pos long, ratio double")
+    held = models.select("gene_id", "features", "beta", "field")
+    return held.repartition(max(1, held.sparkSession.sparkContext.defaultParallelism), "gene_id").mapInPandas(run, "gene_id string, iso_id string, pos long, ratio double")
+
+
+def at_places(fitted: DataFrame, index: DataFrame) -> DataFrame:
+    """(gene_id, iso_id, spot_id, ratio) by a join that broadcasts neither side."""
+    return fitted.hint("merge").join(index, "pos").select("gene_id", "iso_id", "spot_id", "ratio")

@@ -527,3 +527,11 @@ def test_gene_counts_on_sparse_kernels(spark, data, monkeypatch):
     monkeypatch.setattr(SparseKernel, "_times", no_iteration)
     monkeypatch.setattr(models, "car_kernel", functools.partial(models.car_kernel, dense_limit=10))
     assert run() == {k: pytest.approx(v, rel=1e-8) for k, v in want.items()}
+
+
+def test_fitted_ratios_are_never_broadcast(spark, data):
+    m = models.LogitModel("glm").setup_data(data, min_counts=0)
+    m.fit()
+    plan = m.fitted_ratios()
+    assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert plan.groupBy("gene_id", "spot_id").agg(F.sum("ratio").alias("s")).where("abs(s - 1) < 1e-9").count() == 2 * 30
