@@ -3,7 +3,8 @@
 One group of features is one task: ``groupBy(gene_id).applyInPandas``. The last
 feature is the reference. The spatial model adds to each logit a field with
 covariance s2 (theta K + (1 - theta) I), integrated out by Laplace's method in
-the kernel's eigenbasis.
+the kernel's eigenbasis, or, where the kernel is the inverse of a sparse precision
+with a factor over levels of places, by such factors.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from pyspark.sql import functions as F
 from spotweave.blas import one_thread
 from spotweave.functions.dist import chi2_sf
 from spotweave.functions.fdr import adjust
+from spotweave.operators.kernels import SparseKernel
+from spotweave.operators.levels import Blocks, Factor
 from spotweave.schema import Dataset, one_of
 
 one_thread()
 
-#: A spatial fit solves for places x (features - 1) unknowns at once, up to so many.
+#: A spatial fit in an eigenbasis solves for places x (features - 1) unknowns at once, up to so many.
 MOST_UNKNOWNS = 4000
 
 
@@ -168,17 +171,88 @@ def _laplace(counts: np.ndarray, x: np.ndarray, lam: np.ndarray, q: np.ndarray,
     return now - 0.5 * (p * np.log(prior).sum() + det), beta, nu, step
 
 
-def fit_spatial_logit(counts: np.ndarray, design: np.ndarray, lam: np.ndarray, q: np.ndarray, theta: float | None = None, prior: str = "none", method: str = "marginal_newton") -> SpatialLogit:
+class SparsePrior:
+    """Fields of covariance a K + c I per logit, K = S M^-1 S with sparse M.
+
+    With A = K^-1 / a and weights W, (W + (a K + c I)^-1)^-1 = c T + T (A + W T)^-1 T
+    where T = (I + c W)^-1 at each place: only A + W T is factored.
+    """
+
+    def __init__(self, kernel: SparseKernel, rows: int = 16):
+        s = np.ones(kernel.n) if kernel.scale is None else kernel.scale
+        self.blocks = Blocks(kernel.row, kernel.col, kernel.v / (s[kernel.row] * s[kernel.col]), kernel.n, rows)
+        self.logdet = Factor(self.blocks).logdet
+
+    def whitened(self, u: np.ndarray, a: float, c: float) -> np.ndarray:
+        """(a K + c I)^-1 u."""
+        if a == 0:
+            return u / c
+        own = np.full((len(u), 1, 1), 1 / c)
+        return u / c - Factor(self.blocks, 1, 1 / a, own).solve(u) / c**2
+
+
+def _laplace_sparse(counts: np.ndarray, x: np.ndarray, prior: SparsePrior, s2: float, theta: float, beta: np.ndarray, nu: np.ndarray, steps: int = 30, tol: float = 1e-8) -> tuple[float, np.ndarray, np.ndarray, int]:
+    """_laplace with a SparsePrior."""
+    n, p, k = counts.shape[0], counts.shape[1] - 1, x.shape[1]
+    total, one = counts.sum(1), np.eye(p)
+    a, c = s2 * theta, s2 * (1 - theta)
+    alpha = prior.whitened(nu, a, c)  # the prior's inverse times the field
+
+    def value(b: np.ndarray, v: np.ndarray, u: np.ndarray) -> tuple[float, np.ndarray]:
+        pr = softmax(x @ b + v)
+        return float((counts * np.log(np.maximum(pr, 1e-300))).sum() - 0.5 * (v * u).sum()), pr
+
+    now, pr = value(beta, nu, alpha)
+    det = 0.0
+    step = 0
+    for step in range(1, steps + 1):
+        w = -np.einsum("s,sa,sb->sab", total, pr[:, :-1], pr[:, :-1])
+        w[:, np.arange(p), np.arange(p)] += total[:, None] * pr[:, :-1]
+        t = np.linalg.inv(one + c * w)
+        det = -float(np.linalg.slogdet(t)[1].sum())
+        inner = None
+        if a > 0:
+            wt = w @ t
+            inner = Factor(prior.blocks, p, 1 / a, (wt + wt.transpose(0, 2, 1)) / 2)
+            det += p * (n * np.log(a) - prior.logdet) + inner.logdet
+        hb = np.einsum("sd,sab->sbad", x, w).reshape(n, p, p * k)
+        bb = np.einsum("sd,se,sab->adbe", x, x, w, optimize=True).reshape(p * k, p * k) + 1e-8 * np.eye(p * k)
+        res = (counts - total[:, None] * pr)[:, :-1]
+        gb, gv = (x.T @ res).T.ravel(), res - alpha
+        right = np.concatenate((hb, gv[:, :, None]), axis=2)
+        tr = t @ right
+        sol = c * tr if inner is None else c * tr + t @ inner.solve(tr)
+        cross = np.einsum("sbi,sbj->ij", hb, sol)
+        db = np.linalg.solve(bb - cross[:, :-1], gb - cross[:, -1])
+        dv = sol[:, :, -1] - sol[:, :, :-1] @ db
+        du = gv - hb @ db - np.einsum("sab,sb->sa", w, dv)
+        db = db.reshape(p, k).T
+        scale = 1.0
+        for _ in range(20):
+            new, pr_new = value(beta + scale * db, nu + scale * dv, alpha + scale * du)
+            if np.isfinite(new) and new >= now - 1e-10 * abs(now):
+                break
+            scale /= 2
+        gain, now, pr = new - now, new, pr_new
+        beta, nu, alpha = beta + scale * db, nu + scale * dv, alpha + scale * du
+        if abs(gain) < tol * (1 + abs(now)):
+            break
+    return now - 0.5 * det, beta, nu, step
+
+
+def fit_spatial_logit(counts: np.ndarray, design: np.ndarray, lam: np.ndarray | SparseKernel, q: np.ndarray | None, theta: float | None = None, prior: str = "none", method: str = "marginal_newton") -> SpatialLogit:
     """The variance and (unless given) the spatial share by maximum Laplace
     marginal likelihood, or for ``joint`` methods by the joint one at the mode.
 
-    A grid over both is refined twice. ``prior``: ``none``, ``gamma`` (2, 0.3) or
+    ``lam``, ``q``: the kernel's eigenpairs, or a sparse kernel with a factor and
+    None. A grid over both is refined twice. ``prior``: ``none``, ``gamma`` (2, 0.3) or
     ``inv_gamma`` (2, 0.1) on the standard deviation.
     """
     one_of(prior, ("none", "gamma", "inv_gamma"), "variance prior")
     one_of(method, ("joint_gd", "joint_newton", "marginal_gd", "marginal_newton"), "fit method")
     n, p = counts.shape[0], counts.shape[1] - 1
-    if n * p > MOST_UNKNOWNS:
+    sparse = SparsePrior(lam) if isinstance(lam, SparseKernel) else None
+    if sparse is None and n * p > MOST_UNKNOWNS:
         raise ValueError(f"{n} places x {p} logits are over {MOST_UNKNOWNS} unknowns; use fewer places or the logit model")
     x = np.concatenate((np.ones((n, 1)), design), axis=1)
     start = fit_logit(counts, design).beta
@@ -196,7 +270,8 @@ def fit_spatial_logit(counts: np.ndarray, design: np.ndarray, lam: np.ndarray, q
                 ls2, lt = centre + width * (a, b)
                 s2, th = float(np.exp(np.clip(ls2, -9, 3))), theta if theta is not None else float(1 / (1 + np.exp(-np.clip(lt, -6, 6))))
                 th = min(th, 1 - 1e-4)
-                ll, be, v, k = _laplace(counts, x, lam, q, s2, th, start if best is None else best[2], nu if best is None else best[3])
+                at = s2, th, start if best is None else best[2], nu if best is None else best[3]
+                ll, be, v, k = _laplace(counts, x, lam, q, *at) if sparse is None else _laplace_sparse(counts, x, sparse, *at)
                 used += k
                 if best is None or ll + penalty(s2) > best[0] + penalty(best[4]):
                     best = (ll, (ls2, lt), be, v, s2, th)
@@ -220,11 +295,11 @@ def _grouped(data: Dataset, index: DataFrame) -> DataFrame:
 _PARAMS = "gene_id string, model string, features array<string>, beta array<double>, n_covariates int, s2 double, theta double, ll double, steps int, converged boolean, wald array<double>, field array<double>"
 
 
-def fit_models(data: Dataset, index: DataFrame, n: int, design: np.ndarray | None = None, model: str = "glm", eigen: tuple[np.ndarray, np.ndarray] | None = None, method: str | None = None, prior: str = "none", theta: float | None = None) -> DataFrame:
+def fit_models(data: Dataset, index: DataFrame, n: int, design: np.ndarray | None = None, model: str = "glm", eigen: tuple[np.ndarray, np.ndarray] | tuple[SparseKernel, None] | None = None, method: str | None = None, prior: str = "none", theta: float | None = None) -> DataFrame:
     """One row of parameters a group (``glm``, ``glmm-full`` or ``glmm-null``,
     the last with spatial share 0); write it as Parquet to keep the models.
 
-    ``design``: (n, D), broadcast with the kernel's eigenpairs.
+    ``design``: (n, D), broadcast with the kernel's eigenpairs, or the kernel and None.
     """
     one_of(model, ("glm", "glmm-full", "glmm-null"), "model type")
     x = np.zeros((n, 0)) if design is None else design
@@ -265,7 +340,7 @@ def llr_test(full: DataFrame, null: DataFrame, df: int = 1) -> DataFrame:
     return adjust(both.select("gene_id", stat.alias("statistic"), chi2_sf(stat, float(df)).alias("pvalue")), order=["gene_id"])
 
 
-def llr_permutation_test(data: Dataset, index: DataFrame, n: int, eigen: tuple[np.ndarray, np.ndarray], permutations: int = 20, seed: int = 0) -> DataFrame:
+def llr_permutation_test(data: Dataset, index: DataFrame, n: int, eigen: tuple[np.ndarray, np.ndarray] | tuple[SparseKernel, None], permutations: int = 20, seed: int = 0) -> DataFrame:
     """The same gain against those of permuted places: one task a group and permutation."""
     known = data.counts.sparkSession.sparkContext.broadcast(eigen)
 

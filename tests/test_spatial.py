@@ -535,3 +535,20 @@ def test_fitted_ratios_are_never_broadcast(spark, data):
     plan = m.fitted_ratios()
     assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
     assert plan.groupBy("gene_id", "spot_id").agg(F.sum("ratio").alias("s")).where("abs(s - 1) < 1e-9").count() == 2 * 30
+
+
+def test_sparse_spatial_logit_equals_the_dense_one():
+    i, j, v = lattice_precision(8, 5, kept=0.8)
+    dense, sparse = DenseKernel.from_precision(i, j, v, centred=False, standardise=True), SparseKernel(i, j, v, centred=False).standardised()
+    rng, z = np.random.default_rng(8), np.random.default_rng(9).normal(size=(40, 1))
+    c = simulate.simulate_group(rng, np.linalg.cholesky(dense.matrix), 3, np.zeros((40, 0)), s2=1.0, theta=0.8, mean_total=30).astype(float)
+    for design, theta in ((np.zeros((40, 0)), None), (np.zeros((40, 0)), 0.0), (z, 0.5)):
+        a, b = glm.fit_spatial_logit(c, design, *dense.eigen(), theta=theta), glm.fit_spatial_logit(c, design, sparse, None, theta=theta)
+        assert (b.ll, b.s2, b.theta) == pytest.approx((a.ll, a.s2, a.theta), rel=1e-6)
+        assert b.ratio == pytest.approx(a.ratio, abs=1e-5) and b.beta == pytest.approx(a.beta, abs=1e-4)
+
+
+def test_spatial_logit_takes_more_places_than_dense_algebra():
+    kernel = SparseKernel(*lattice_precision(300, 15), centred=False).standardised()
+    c = np.random.default_rng(1).poisson(5, (4500, 3)).astype(float)
+    assert glm.fit_spatial_logit(c, np.zeros((4500, 0)), kernel, None, theta=0.0).ll < 0
