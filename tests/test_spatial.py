@@ -552,3 +552,19 @@ def test_spatial_logit_takes_more_places_than_dense_algebra():
     kernel = SparseKernel(*lattice_precision(300, 15), centred=False).standardised()
     c = np.random.default_rng(1).poisson(5, (4500, 3)).astype(float)
     assert glm.fit_spatial_logit(c, np.zeros((4500, 0)), kernel, None, theta=0.0).ll < 0
+
+
+def test_fourier_residuals_on_lattices_by_axes(spark, monkeypatch):
+    xy = np.stack([g.ravel() for g in np.meshgrid(range(5), range(30), indexing="ij")], axis=1).astype(float)
+    y = np.random.default_rng(2).normal(size=150) + np.sin(xy[:, 1] / 3)
+    spots = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(xy)], "spot_id long, coords array<double>")
+    rows = spark.createDataFrame([(s, i, float(k * y[i])) for k, s in enumerate("ab", 1) for i in range(150) if i % 7], "series string, spot_id long, y double")
+    assert gp.feature_count(gp.lattice_axes(spots, 2), 2.0) == 2 * len(gp.fourier_modes(xy.min(0), xy.max(0), 2.0)[0]) - 1
+    full = spots.crossJoin(rows.select("series").distinct()).join(rows, ["spot_id", "series"], "left").fillna(0.0, ["y"])
+    want = {(r.series, r.spot_id): r.res for r in gp.fourier_residuals(full, 2, 2.0).collect()}
+    monkeypatch.setattr(gp, "fourier_residuals", lambda *a: pytest.fail("one matrix of all features"))
+    for axis in (gp.SHORT_AXIS, 10):
+        monkeypatch.setattr(gp, "SHORT_AXIS", axis)
+        got = {(r.series, r.spot_id): r.res for r in gp.residual_columns(rows, spots, 150, "fourier", 2.0).collect()}
+        assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+    assert gp.lattice_axes(spots.where("spot_id <> 3"), 2) is None
