@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from spotweave.functions import dist, fdr
 from spotweave.operators import design as dz
-from spotweave.operators import filters, glm, gp, graph, hsic, likelihood, ratios, simulate, summaries, usage
+from spotweave.operators import filters, glm, gp, graph, hsic, kernels, likelihood, ratios, simulate, summaries, usage
 from spotweave.operators.kernels import DenseKernel, IdentityKernel, MaskedKernel, SparseKernel, TorusKernel, distributed_apply, hutchinson, quadratic
 from spotweave.plans import chunks, models
 from spotweave.schema import Dataset
+from spotweave.store import write_table
 
 RNG = np.random.default_rng(0)
 COUNTS = RNG.poisson(2, (30, 6)).astype(float)
@@ -568,3 +569,46 @@ def test_fourier_residuals_on_lattices_by_axes(spark, monkeypatch):
         got = {(r.series, r.spot_id): r.res for r in gp.residual_columns(rows, spots, 150, "fourier", 2.0).collect()}
         assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
     assert gp.lattice_axes(spots.where("spot_id <> 3"), 2) is None
+
+
+def counted(spark, data):
+    """``data``, and how many rows of its counts are read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(parts):
+        for p in parts:
+            seen.add(len(p))
+            yield p
+
+    return data.with_(counts=data.counts.mapInPandas(look, data.counts.schema)), seen
+
+
+def test_masked_tests_read_counts_once(spark, data):
+    held, seen = counted(spark, data)
+    assert models.PlaceModel().setup_data(held, min_counts=0).test_spatial_variability("hsic-ir", nan_filling="none").count()
+    assert seen.value == data.counts.count()
+
+
+def test_neighbours_on_a_lattice_take_one_search(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "write_table", lambda df, tag: written.append(tag) or write_table(df, tag))
+    points = spark.range(120).select(F.col("id").alias("spot_id"), F.array((F.col("id") % 10).cast("double"), F.floor(F.col("id") / 10).cast("double")).alias("coords"))
+    found = {(r.i, r.j) for r in graph.knn(points, 4).collect()}
+    xy = np.array([(i % 10, i // 10) for i in range(120)], dtype=float)
+    d = ((xy[:, None] - xy[None]) ** 2).sum(2) + np.where(np.eye(120) > 0, np.inf, 0)
+    assert found == {(i, int(j)) for i in range(120) for j in np.lexsort((np.arange(120), d[i]))[:4]}
+    assert written == ["knn"]
+
+
+def test_traces_of_sparse_kernels_are_exact(monkeypatch):
+    i, j, v = lattice_precision(20, 6)
+    sparse = SparseKernel(i, j, v, centred=False).standardised()
+    full = sparse.apply(np.eye(sparse.n))
+    monkeypatch.setattr(kernels, "DENSE_LIMIT", 10)
+    for valid in (np.arange(sparse.n), np.flatnonzero(np.arange(sparse.n) % 4 > 0), np.arange(40)):
+        k = full[np.ix_(valid, valid)]
+        w = np.linalg.eigvalsh(k - k.mean(0) - k.mean(1)[:, None] + k.mean())
+        if len(valid) > kernels.FEW:
+            assert MaskedKernel(sparse, valid).cumulants() == {p: pytest.approx((w**p).sum(), rel=1e-9) for p in (1, 2, 3, 4)}
+        assert sparse.cut_cumulants(valid, True) == {p: pytest.approx((w**p).sum(), rel=1e-9) for p in (1, 2, 3, 4)}
+    assert sparse.cumulants() == {p: pytest.approx((np.linalg.eigvalsh(full) ** p).sum(), rel=1e-9) for p in (1, 2, 3, 4)}
