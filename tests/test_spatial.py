@@ -612,3 +612,9 @@ def test_traces_of_sparse_kernels_are_exact(monkeypatch):
             assert MaskedKernel(sparse, valid).cumulants() == {p: pytest.approx((w**p).sum(), rel=1e-9) for p in (1, 2, 3, 4)}
         assert sparse.cut_cumulants(valid, True) == {p: pytest.approx((w**p).sum(), rel=1e-9) for p in (1, 2, 3, 4)}
     assert sparse.cumulants() == {p: pytest.approx((np.linalg.eigvalsh(full) ** p).sum(), rel=1e-9) for p in (1, 2, 3, 4)}
+
+
+def test_gene_counts_read_counts_once(spark, data):
+    held, seen = counted(spark, data)
+    assert models.gene_count_test(held, min_counts=1).count()
+    assert seen.value == data.counts.count()
